@@ -227,8 +227,8 @@ def _split(source: str, limit: int, overlap: int) -> dict[str, str]:
           FROM (SELECT *, first < i + 1 AND tok + ts[i + 2] > {limit} AS c, {f"coalesce(list_max([k for k in range(first, i + 1) if list_sum(ts[k + 1:i + 1]) >= {overlap}]), first)" if overlap else "i + 1"} AS nf FROM ck_walk WHERE i + 1 < len(ts))""",
         "ck_bounds": f"""SELECT doc_id, block_no, done_first AS first, done_last AS last, false AS final FROM ck_walk WHERE done_first IS NOT NULL
           UNION ALL SELECT doc_id, block_no, first, i, true FROM ck_walk WHERE i + 1 = len(ts) UNION ALL SELECT doc_id, block_no, 0, len(ls) - 1, true FROM ck_toks WHERE tok <= {limit}""",
-        "ck_cut": f"SELECT b.doc_id, b.block_no, b.first, t.heading_path, t.start_line + b.first AS start_line, CASE WHEN b.final THEN t.end_line ELSE t.start_line + b.last END AS end_line, {_trim("array_to_string(t.ls[b.first + 1:b.last + 1], '\n')")} AS text FROM ck_bounds b JOIN ck_toks t USING (doc_id, block_no)",
-        "ck": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_line, block_no, first) - 1 AS INTEGER) AS seq, heading_path, start_line, end_line, text, {t} AS token_est FROM ck_cut WHERE text <> ''",
+        "ck_cut": f"SELECT b.doc_id, b.block_no, b.first, b.last, t.heading_path, t.start_line + b.first AS start_line, CASE WHEN b.final THEN t.end_line ELSE t.start_line + b.last END AS end_line, {_trim("array_to_string(t.ls[b.first + 1:b.last + 1], '\n')")} AS text FROM ck_bounds b JOIN ck_toks t USING (doc_id, block_no)",
+        "ck": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_line, block_no, first, last) - 1 AS INTEGER) AS seq, heading_path, start_line, end_line, text, {t} AS token_est FROM ck_cut WHERE text <> ''",
     }
 
 

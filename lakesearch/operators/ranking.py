@@ -72,7 +72,7 @@ def _nearest(queries: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             if not len(chunk) or not len(ids):
                 continue
             x = b.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(chunk), -1)
-            scores = np.round((q @ x.T) / b.column("norm").to_numpy()[None, :], 12)
+            scores = (q @ x.T) / b.column("norm").to_numpy()[None, :]
             if len(chunk) > k:
                 # everything at the k-th score or above stays, so ties are settled by id later
                 least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
