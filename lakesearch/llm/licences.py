@@ -52,7 +52,7 @@ You should have received a copy of the GNU General Public License along with thi
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 #: Equivalent spellings, as whole words after lower-casing and removal of punctuation (fixed values).
-SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("favour", "favor"), ("v", "version"), ("ver", "version"), ("https", "http")]
+SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("favour", "favor"), ("v", "version"), ("ver", "version"), ("https", "http")]
 #: Marks that begin a line of copyright; such lines don't count.
 _COPYRIGHT = "^[\\s*/#;-]*(copyright\\b|\\(c\\)|©|all rights reserved)"
 _OTHER = "[^\\p{L}\\p{N}]+"

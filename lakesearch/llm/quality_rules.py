@@ -91,54 +91,90 @@ def rules() -> dict[str, Column]:
     mean = F.col("word_chars") / n
     symbols, repeats, distinct = F.col("n_symbols") / n, F.col("n_repeat_words") / n, F.col("n_distinct") / n
     upper, shouts, echoes = F.col("n_upper") / n, F.col("n_shouts") / n, F.col("n_echoes") / n
-    return {
-        "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 20),
-        "word_length": _vote(mean.between(3, 9), (mean < 2.5) | (mean > 14)),
-        "symbols": _vote(symbols < 0.1, symbols > 0.25),
-        "dup_lines": _vote(F.lit(False), F.col("n_dup_lines") * 10 > F.col("n_words")),
-        "repeats": _vote(repeats < 0.1, repeats > 0.25),
-        "distinct": _vote((distinct > 0.45) & (F.col("n_words") >= 20), distinct < 0.2),
-        "capitals": _vote(upper < 0.1, upper > 0.4),
-        "shouting": _vote(shouts < 0.05, shouts > 0.3),
-        "echoes": _vote(echoes < 0.1, echoes > 0.3),
+    never = F.lit(False)
+    merits = {
+        "length": _vote(F.col("n_words") >= 50, never),
+        "word_length": _vote(mean.between(3, 9), (mean < 2) | (mean > 14)),
+        "vocabulary": _vote(distinct > 0.45, (distinct < 0.15) & (F.col("n_words") < 5000)),
     }
+    # the lack of one fault says little about the others, so these rules abstain without it
+    faults = {
+        "symbols": _vote(never, symbols > 0.15),
+        "dup_lines": _vote(never, F.col("n_dup_lines") * 10 > F.col("n_words")),
+        "repeats": _vote(never, repeats > 0.3),
+        "capitals": _vote(never, upper > 0.3),
+        "shouting": _vote(never, shouts > 0.2),
+        "echoes": _vote(never, echoes > 0.25),
+    }
+    return {**merits, **faults, "no_fault": _vote(F.greatest(*faults.values()) < 0, never)}
+
+
+#: P(good vote) and P(bad vote) on good and on bad documents before any data, and the weight of these guesses as a share of
+#: the documents.
+_GUESS = np.array([[0.8, 0.01], [0.6, 0.25]])
+_WEIGHT = 0.005
+#: Least evidence of a vote: how many times as often, at least, a rule votes good on good documents as on bad ones, and bad
+#: on bad documents as on good ones.  Without such bounds nothing would say which class is the good one.
+LEAST = {"no_fault": (10.0, 1.0)}
+LEAST_OTHERS = (1.0, 100.0)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents and, by rule, the probability that its vote is right."""
+    """Share of good documents and, by rule, the probabilities of its votes (good, bad) on good and on bad ones.
+
+    A rule that abstains says nothing."""
 
     prior: float
-    accuracy: dict[str, float]
+    votes: dict[str, tuple[tuple[float, ...], tuple[float, ...]]]
+
+    @property
+    def accuracy(self) -> dict[str, float]:
+        """How often a rule is right where it votes."""
+        out = {}
+        for name, (good, bad) in self.votes.items():
+            right = self.prior * good[0] + (1 - self.prior) * bad[1]
+            out[name] = right / (right + self.prior * good[1] + (1 - self.prior) * bad[0])
+        return out
 
     def posterior(self, votes: dict[str, Column]) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, a in self.accuracy.items():
-            w = math.log(a / (1 - a))
-            odds = odds + F.when(votes[name] == 1, w).when(votes[name] == 0, -w).otherwise(0.0)
+        for name, (good, bad) in self.votes.items():
+            up, down = (math.log(a / b) for a, b in zip(good, bad, strict=True))
+            odds = odds + F.when(votes[name] == 1, up).when(votes[name] == 0, down).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
-def estimate(names: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+def estimate(names: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
     """Expectation-maximisation on distinct vote patterns (rows of 1, 0, -1) with their counts.
 
-    Rules vote independently given the true class, are as often right on either class, and abstain regardless of it.
-    Accuracies stay within [0.55, 0.99] and the prior within [0.05, 0.95], so that no class can vanish; no votes at all
-    give the start values."""
-    accuracy, prior = np.full(len(names), 0.8), 0.7
+    Rules vote independently given the true class; an abstention is no evidence.  Faults exclude each other more often than
+    not, so a bad vote is rarely seconded; the model therefore has chances of its own for each vote and class, starts from
+    "a bad vote means bad", and keeps a little of a first guess.  No votes at all give that guess."""
     patterns = np.asarray(patterns, np.int64).reshape(-1, len(names))
     counts = np.asarray(counts, np.float64)
-    for _ in range(rounds if len(patterns) else 0):
-        w = np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + (patterns == 1) @ w - (patterns == 0) @ w)))
-        right = counts @ ((patterns == 1) * good[:, None] + (patterns == 0) * (1 - good[:, None]))
-        cast = counts @ (patterns >= 0)
-        now = np.clip((right + 8) / (cast + 10), 0.55, 0.99), float(np.clip(counts @ good / counts.sum(), 0.05, 0.95))
-        done = np.abs(now[0] - accuracy).max() < 1e-7
-        accuracy, prior = now
+    is_vote = np.stack([patterns == 1, patterns == 0], axis=2).astype(np.float64)
+    table, prior = np.repeat(_GUESS[None], len(names), axis=0), 0.85
+    bounds = np.array([LEAST.get(n, LEAST_OTHERS) for n in names])
+    good = np.where((patterns == 0).any(axis=1), 0.1, 0.95)
+    for _ in range(rounds if counts.sum() else 0):
+        share = [counts * good, counts * (1 - good)]
+        extra = _WEIGHT * counts.sum() + 1
+        now = np.stack([(np.einsum("p,pjv->jv", s, is_vote) + extra * g) / (s.sum() + extra) for s, g in zip(share, _GUESS, strict=True)], axis=1)
+        # at a bound the rates still give the number of votes
+        weight = np.array([x.sum() + extra for x in share])
+        for v, right in ((0, 0), (1, 1)):
+            rare = now[:, :, v] @ weight / (weight[1 - right] + bounds[:, v] * weight[right])
+            over = now[:, 1 - right, v] > rare
+            now[over, 1 - right, v], now[over, right, v] = rare[over], np.minimum(bounds[over, v] * rare[over], 0.999)
+        prior = float(np.clip(share[0].sum() / counts.sum(), 0.05, 0.98))
+        done = np.abs(now - table).max() < 1e-9
+        table = now
+        odds = math.log(prior / (1 - prior)) + np.einsum("pjv,jv->p", is_vote, np.log(table[:, 0] / table[:, 1]))
+        good = 1 / (1 + np.exp(-odds))
         if done:
             break
-    return LabelModel(prior, dict(zip(names, accuracy.tolist(), strict=True)))
+    return LabelModel(prior, {n: (tuple(t[0].tolist()), tuple(t[1].tolist())) for n, t in zip(names, table, strict=True)})
 
 
 def label_model(measured: DataFrame) -> LabelModel:
