@@ -45,7 +45,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     folded = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e.kind.isin(*REPLACING), i).otherwise(0)))
     kept = F.slice("log", last + 1, F.size("log"))
-    role = F.element_at(F.filter("log", lambda e: e.role.isNotNull()), -1).role
+    role = F.try_element_at(F.filter("log", lambda e: e.role.isNotNull()), F.lit(-1)).role
     return folded.select("conv_id", "turn", F.coalesce(role, F.lit("")).alias("role"), F.array_join(F.transform(kept, lambda e: e.text), "").alias("text"))
 
 

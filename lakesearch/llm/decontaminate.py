@@ -7,7 +7,7 @@ stand in the placeholders are compared: a question with other numbers, names or
 item goes to one value of the document throughout.
 
 Items give windows at every place, documents at every ``stride``-th: a shared run of ``window + stride - 1`` words holds
-a window at such a place.  Items shorter than that are looked for as wholes, at every place.
+a window at such a place.  Items shorter than that are looked for with all their words but one, at every place.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def template_words(text: Column) -> Column:
 
     Null: no words."""
     t = F.regexp_replace(text, f"[{_MARKS}]", " ")
-    t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(\\p{Lu}\\p{L}+)", f"{_NAME}$1")
+    t = F.regexp_replace(t, "(?<=[\\p{Ll},;]\\s)(\\p{Lu}\\p{L}+)", f"{_NAME}$1")
     t = F.regexp_replace(t, "(\\p{N}+(?:[.,]\\p{N}+)*)", f" {_NUMBER}$1 ")
     t = F.lower(t)
     t = F.regexp_replace(t, f"({_NUMBER}\\S+) +({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {_UNIT}$2")
@@ -78,15 +78,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride:
     items = benchmark.select(F.col(item_id).alias("item_id"), template_words(F.col(item_text)).alias("words")).filter("item_id is not null and words[0] <> ''")
     items = items.withColumns({"blank": _blank(F.col("words")), "n": F.size("words")}).dropDuplicates(["item_id", "words"])
     full = window + stride - 1
-    short = [r.n for r in items.filter(F.col("n") < full).select("n").distinct().orderBy("n").collect()]  # fewer than ``full`` numbers
-    width = F.when(F.col("n") < full, F.col("n")).otherwise(window)
+    # a short item's first or last word may be left out: after other words the first one can look like a name
+    width = F.when(F.col("n") < full, F.greatest(F.col("n") - 1, F.least("n", F.lit(3)))).otherwise(window)
+    short = [r.w for r in items.filter(F.col("n") < full).select(width.alias("w")).distinct().orderBy("w").collect()]  # fewer than ``full`` numbers
     asked = items.select("item_id", "n", width.alias("width"), F.explode(_windows(width, 1)).alias("w")).select("item_id", "n", "width", F.col("w.hash").alias("hash"), F.col("w.place").alias("item_place"), F.col("w.slots").alias("item_slots"))
     if asked.count() <= SMALL:
         asked = F.broadcast(asked)
 
     words = docs.select(F.col(doc_id).alias("doc_id"), template_words(F.col(text)).alias("words")).filter("doc_id is not null")
     blank = words.withColumn("blank", _blank(F.col("words")))
-    sizes = [_marked(n, s) for n, s in [(window, stride), *((n, 1) for n in short)]]
+    sizes = [_marked(n, s) for n, s in ({window: stride} | dict.fromkeys(short, 1)).items()]
     held = blank.select("doc_id", F.explode(F.concat(*sizes) if len(sizes) > 1 else sizes[0]).alias("x")).select("doc_id", F.col("x.width").alias("width"), F.col("x.w.hash").alias("hash"), F.col("x.w.place").alias("place"), F.col("x.w.slots").alias("slots"))
 
     hits = held.join(asked, ["hash", "width"]).filter(F.size("slots") == F.size("item_slots"))
