@@ -8,15 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import base_title, style_level, trim_all
 
 MAX_LINE_BYTES = 4 << 20
 SCAN_BYTES = 20
-_DOC = W.partitionBy("doc_id")
-_LINES = _DOC.orderBy("line_no")
-_SO_FAR = _LINES.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _doc() -> WindowSpec:
+    return W.partitionBy("doc_id")
+
+
+def _so_far() -> WindowSpec:
+    return _doc().orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -35,8 +41,8 @@ def overlong(lines: DataFrame, limit: int = MAX_LINE_BYTES) -> DataFrame:
 def skip_frontmatter(lines: DataFrame) -> DataFrame:
     """B2: without the lines from a first ``---`` to the next ``---`` or ``...``; never closed: without all lines."""
     mark = trim_all(F.col("line"))
-    opens = F.max(F.when((F.col("line_no") == 1) & (mark == "---"), True)).over(_DOC)
-    end = F.min(F.when((F.col("line_no") > 1) & mark.isin("---", "..."), F.col("line_no"))).over(_DOC)
+    opens = F.max(F.when((F.col("line_no") == 1) & (mark == "---"), True)).over(_doc())
+    end = F.min(F.when((F.col("line_no") > 1) & mark.isin("---", "..."), F.col("line_no"))).over(_doc())
     marked = lines.withColumns({"opens": F.coalesce(opens, F.lit(False)), "end": end})
     return marked.filter(~F.col("opens") | (F.col("line_no") > F.col("end"))).drop("opens", "end")
 
@@ -86,7 +92,7 @@ def heading_path(lines: DataFrame) -> DataFrame:
     """With ``heading_path``, the live headings above a line (its own included), joined by ' > '.
 
     The last heading of a level is live if it stands below the last one of every higher level."""
-    last = {n: F.last(F.when(F.col("level") == n, F.struct("line_no", "heading")), ignorenulls=True).over(_SO_FAR) for n in range(1, 7)}
+    last = {n: F.last(F.when(F.col("level") == n, F.struct("line_no", "heading")), ignorenulls=True).over(_so_far()) for n in range(1, 7)}
     out = lines.withColumns({f"h{n}": c for n, c in last.items()})
     parts = []
     for n in range(1, 7):
@@ -102,7 +108,7 @@ def _joined(order: str, value: str, separator: str = "\n") -> Column:
 
 def sectionize_blocks(lines: DataFrame) -> DataFrame:
     """A block begins at each heading; texts are trimmed and blank blocks dropped; ``block_no`` counts headings."""
-    numbered = lines.withColumn("block_no", F.sum((F.col("level") > 0).cast("int")).over(_SO_FAR).cast("int"))
+    numbered = lines.withColumn("block_no", F.sum((F.col("level") > 0).cast("int")).over(_so_far()).cast("int"))
     blocks = numbered.groupBy("doc_id", "block_no").agg(
         F.min_by("heading_path", "line_no").alias("heading_path"),
         F.min("line_no").alias("start_line"),

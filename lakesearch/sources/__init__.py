@@ -27,7 +27,7 @@ def list_files(spark: SparkSession, root: str, include: list[str] = (), exclude:
     """A1, A2, A3: (rel_path, size_bytes, mtime) of files under ``root`` that can be indexed; contents aren't read.
 
     Folders whose name begins with a dot are left out (``dot_folders``: kept, as in object stores).  Spark's own listing
-    drops names that begin with a dot or an underscore in any case."""
+    drops names that begin with a dot or an underscore in any case, and files without a byte, which have nothing to index."""
     rows = _files(spark, root).select(_rel_path(root).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     if not dot_folders:
         rows = rows.filter(~F.col("rel_path").rlike(r"(^|/)\.[^/]*/"))
@@ -98,8 +98,9 @@ class Catalog:
         out.write(bytearray(name + "\n", "utf-8"))
         out.close()
         _, pointer = self._fs(self._pointer(table))
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        if not fs.rename(temporary, pointer):
-            raise OSError(f"could not move the pointer of {table}")
+        sc = self.spark.sparkContext
+        options = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        overwrite = sc._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), sc._jsc.hadoopConfiguration()).rename(temporary, pointer, overwrite)
         return name
