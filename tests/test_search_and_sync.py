@@ -52,7 +52,7 @@ def test_search_options(spark):
     assert got == {1: [1, 3], 2: [1, 2], 3: [3], 4: []}
     assert all(0 < r.relevance <= 1 for r in hits)
     both = plans.search_all(asked.filter("query_id = 1"), {"b": i, "a": i}).orderBy("merged_rank").collect()
-    assert [r.kb for r in both] == ["a", "b", "a", "b"]
+    assert [r.kb for r in both] == ["a", "a", "b", "b"]
 
 
 def test_cap(spark):
