@@ -2,8 +2,9 @@
 
 A source's target is a share of all words.  Each of its documents should appear ``target / source size`` times on average:
 the whole part of that are certain copies, the fractional part is an inclusion probability ``p``.  Documents are ranked
-by the odds of a uniform random number over the odds of ``p`` and taken in that order until the source's words come as
-near to the target as they can.  The random numbers are hashes of seed and id, so reruns agree.
+by the odds of a uniform random number over the odds of ``p`` and taken in that order as long as the source's words stay
+within the target; one more document, the one behind the cut that fills the gap best, brings them near it.  The random
+numbers are hashes of seed and id, so reruns agree.
 
 The order within a source is never laid out as a whole: sums by (source, slice of the rank) find the slice in which the
 target is met, and only the documents of that slice are put in order.  What each source needs is then one cut, joined
@@ -68,8 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     counted) added, existing columns of these names replaced; ``taken / size`` is how often the document appears.
 
     Null texts have size 0 and are never taken; null sources form one source, the last.  Null ids count as one id, below
-    all others; rows with one id share their fate, so a source may overshoot by their size.  Where a source's sampled words
-    pass the target within a document, it is taken if that comes nearer.  An empty table gives an empty result."""
+    all others; rows with one id share their fate, so a source may overshoot by their size.  An empty table gives an empty
+    result."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"size", "source_size", "target", "taken"}])
     sized = docs.withColumn("size", words_in(F.col(text)))
     least_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
@@ -88,15 +89,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     inside = ranked.withColumnRenamed("source", "s").withColumnRenamed("slice", "k").join(by_source(slices), F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("slice")))
     upto = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "id"))
     cuts = inside.withColumn("upto", upto)
-    # the last of the slice that is nearer in than out, or all before the slice
-    cuts = cuts.groupBy("source").agg(F.max(F.when(F.col("upto") - F.col("size") / 2.0 <= F.col("wanted"), F.struct("q", "id"))).alias("cut"), F.min("slice").alias("cut_slice"))
-    plan = goals.join(cuts.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(goals.source), "left").select(F.col("source").alias(key := fresh(sized, "mix_source")), "source_size", "target", "copies", "part", "cut", "cut_slice")
+    # the last of the slice that fits, if any, and what is still missing then
+    fits = F.col("upto") <= F.col("wanted")
+    cuts = cuts.groupBy("source").agg(F.max(F.when(fits, F.struct("q", "id"))).alias("cut"), F.first("slice").alias("cut_slice"), (F.first("wanted") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before"))).alias("gap"))
+    cuts = cuts.withColumnRenamed("source", "s")
+    # one more: of the documents behind the cut the one that fills the gap best
+    off = F.abs(F.col("size") - F.col("gap"))
+    behind = (F.col("slice") > F.col("cut_slice")) | ((F.col("slice") == F.col("cut_slice")) & F.coalesce(F.struct("q", "id") > F.col("cut"), F.lit(True)))
+    extra = ranked.join(by_source(cuts), F.col("s").eqNullSafe(ranked.source) & behind & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "id")).alias("e"))
+    extra = extra.select(F.col("source").alias("x"), F.struct("e.q", "e.id").alias("extra"))
+    plan = goals.join(cuts, F.col("s").eqNullSafe(goals.source), "left").join(extra, F.col("x").eqNullSafe(goals.source), "left")
+    plan = plan.select(F.col("source").alias(key := fresh(sized, "mix_source")), "source_size", "target", "copies", "part", "cut", "cut_slice", "extra")
     plan = written(plan, "mix")
 
     u = uniform(F.col(doc_id), seed)
     q = F.when((F.col("part") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("part") / (1 - F.col("part"))))
     lower = F.floor(q / (1 + q) * SLICES) < F.col("cut_slice")
-    taken = q.isNotNull() & (lower | F.coalesce(F.struct(q.alias("q"), least_id.alias("id")) <= F.col("cut"), F.lit(False)))
+    own = F.struct(q.alias("q"), least_id.alias("id"))
+    taken = q.isNotNull() & (lower | F.coalesce(own <= F.col("cut"), F.lit(False)) | F.coalesce(own == F.col("extra"), F.lit(False)))
     out = sized.join(by_source(plan), F.col(source).eqNullSafe(F.col(key)))
     return out.select(*docs.columns, "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.coalesce(taken, F.lit(False)).cast("long"))).alias("taken"))
 
@@ -120,8 +130,10 @@ s8 AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS copies, ratio - floor(ratio) AS
 d1 AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.copies,
          CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q, target - copies * source_size AS wanted
        FROM sized d JOIN s8 t ON d.source IS NOT DISTINCT FROM t.source),
-d2 AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d1)
+d2 AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d1),
+d3 AS (SELECT *, wanted - coalesce(max(CASE WHEN q IS NOT NULL AND upto <= wanted THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM d2),
+d4 AS (SELECT *, row_number() OVER (PARTITION BY source, q IS NOT NULL AND upto > wanted AND abs(size - gap) < gap ORDER BY abs(size - gap), q, doc_id) AS place FROM d3)
 SELECT doc_id, size, source_size, target,
-       size * (copies + CASE WHEN q IS NOT NULL AND upto - size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END) AS taken
-FROM d2
+       size * (copies + CASE WHEN q IS NOT NULL AND (upto <= wanted OR (abs(size - gap) < gap AND place = 1)) THEN 1 ELSE 0 END) AS taken
+FROM d4
 """
