@@ -42,7 +42,8 @@ def final_messages(events: DataFrame) -> DataFrame:
     append, events with a null turn are one message, placed first.  Events with equal numbers are ordered by kind, then
     text."""
     event = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    folded = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    # dealt by conversation once: both groupings, this one and that of ``render``, keep to it
+    folded = events.repartition("conv_id").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e.kind.isin(*REPLACING), i).otherwise(0)))
     kept = F.slice("log", last + 1, F.size("log"))
     role = F.try_element_at(F.filter("log", lambda e: e.role.isNotNull()), F.lit(-1)).role
