@@ -3,7 +3,9 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  A window of text is compressed with each;
 the toxic dictionary saves bytes where the window looks like toxic text.  A window is one word written out as its growing
 beginnings (``tr tra tras trash``): a match of a longer beginning saves more bytes, which gives short windows enough
-length for compression lengths to tell them apart.  A document's score is a calibrated function of how many of its
+length for compression lengths to tell them apart.  A longer word gives a window for each run of
+``LONG`` bytes in it and counts with its best one, and runs without spaces are cut into words that share ``LONG`` bytes, so
+all bytes are scored.  A document's score is a calibrated function of how many of its
 windows are shorter by at least a threshold with the toxic dictionary.
 """
 
@@ -23,22 +25,37 @@ from .training import logistic, sample, sigmoid
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 20_000
-#: Lengths of a word's beginnings, in bytes; words in the toxic dictionary; entries of a worker's cache.
-SHORT, LONG, TOXIC_WORDS, CACHE = 2, 9, 400, 400_000
+#: Lengths of a word's beginnings, in bytes; of a longer word's last piece; bytes from which a run without spaces is cut into overlapping
+#: words; entries of a worker's cache.
+SHORT, LONG, LEAST, RUN, CACHE = 2, 9, 4, 36, 400_000
 _SEEN: dict[bytes, dict[bytes, int]] = {}
 
 
 def _words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
+    out = []
+    for w in (text or "").lower().encode().split():
+        out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w) - LONG, RUN - LONG)]
+    return out
 
 
 def _window(word: bytes) -> bytes:
     return b"".join(b" " + word[:n] for n in range(SHORT, min(len(word), LONG) + 1)) + b"|"
 
 
+def _parts(word: bytes) -> list[bytes]:
+    """Pieces of a word, each with a window of its own: the word itself, of a longer one ``LONG`` bytes from every byte on, or
+    what is left there if that is ``LEAST`` bytes or more."""
+    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(len(word) - LEAST + 1)]
+
+
+def _pieces(words: list[bytes]) -> set[bytes]:
+    return {p for w in set(words) for p in _parts(w)}
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    size = max(17, len(content).bit_length())  # all of the dictionary stays within reach
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters(compression_level=3, window_log=18, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = zstandard.ZstdCompressionParameters(compression_level=3, window_log=size + 1, hash_log=size - 2, chain_log=size - 2, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     data.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
@@ -46,27 +63,26 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | None:
     """Dictionary contents (toxic, ordinary), each ending with its most frequent words.
 
-    Toxic text is what toxic documents hold and ordinary ones rarely do: words with a beginning that is far more frequent
-    among toxic documents.  ``None`` if there is no such word."""
+    Toxic text is what toxic documents hold and ordinary ones rarely do: pieces of words with a beginning that is far more
+    frequent (log-odds over 2.5) among toxic documents.  ``None`` if there is no such word."""
     seen, n = (Counter(), Counter()), [0, 0]
     docs = [_words(t) for t in texts]
     for words, y in zip(docs, toxic, strict=True):
         n[y] += 1
-        seen[y].update({b" " + w[:k] for w in set(words) for k in range(3, min(len(w), LONG) + 1)})
+        seen[y].update({b" " + w[:k] for w in _pieces(words) for k in range(3, len(w) + 1)})
     odd = {g for g, t in seen[1].items() if t >= 3 and math.log((t + 0.5) / (n[1] + 1)) - math.log((seen[0][g] + 0.5) / (n[0] + 1)) > 2.5}
     toxic_words: Counter = Counter()
     ordinary: Counter = Counter()
     for words, y in zip(docs, toxic, strict=True):
         if y:
-            toxic_words.update(w for w in words if any(b" " + w[:k] in odd for k in range(3, min(len(w), LONG) + 1)))
+            toxic_words.update(w for word in words for w in _parts(word) if any(b" " + w[:k] in odd for k in range(3, len(w) + 1)))
         else:
-            ordinary.update(words)
+            ordinary.update(w for word in words for w in _parts(word))
     if not toxic_words or not ordinary:
         return None
-    # one entry for each beginning that makes a window of its own
-    def content(ranked: list[bytes], size: int) -> bytes:
+    def content(ranked: list[bytes], size: float) -> bytes:
         parts, total = [], 0
-        for w in dict.fromkeys(w[:LONG] for w in ranked):
+        for w in ranked:
             if total >= size:
                 break
             parts.append(_window(w))
@@ -74,7 +90,7 @@ def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, byte
         return b"".join(reversed(parts))
 
     ranked = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
-    first = content(ranked(toxic_words)[:TOXIC_WORDS], 1 << 16)
+    first = content(ranked(toxic_words), math.inf)
     return first, content(ranked(ordinary), max(len(first), 1 << 12))
 
 
@@ -94,8 +110,7 @@ class ToxicityModel:
             _SEEN.clear()
         cache = _SEEN.setdefault(self.toxic + self.ordinary, {})
 
-        def of(word: bytes) -> int:
-            key = word[:LONG]
+        def part(key: bytes) -> int:
             found = cache.get(key)
             if found is None:
                 if len(cache) >= CACHE:
@@ -104,6 +119,9 @@ class ToxicityModel:
                 found = cache[key] = len(b.compress(w)) - len(a.compress(w))
             return found
 
+        def of(word: bytes) -> int:
+            return part(word) if len(word) <= LONG else max(map(part, _parts(word)))
+
         return of
 
     def score(self, texts) -> np.ndarray:
