@@ -1,13 +1,12 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Texts are brought to a template form: lower case, letters and digits only, numbers, units after numbers and names
-replaced by typed placeholders.  Windows of template words of documents are hash-joined with those of benchmark items;
-hits on one alignment (document place minus item place) of a document and an item are put together, and the values that
-stand in the placeholders are compared: a question with other numbers, names or units still matches if every value of the
-item goes to one value of the document throughout.
+replaced by typed placeholders.  Windows of template words of documents are hash-joined with those of benchmark items,
+both at every place; a hit gives an alignment (document place minus item place), on which the item is compared with the
+document word by word.  The values that stand in the placeholders are compared, too: a question with other numbers, names
+or units still matches if every value of the item goes to one value of the document throughout.
 
-Items give windows at every place, documents at every ``stride``-th: a shared run of ``window + stride - 1`` words holds
-a window at such a place.  Items shorter than that are looked for with all their words but one, at every place.
+Items of at most ``window`` words are looked for with all their words but one.
 """
 
 from __future__ import annotations
@@ -17,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .store import fresh
 
-#: Words in a window, places between a document's windows, least share of an item's words that must match.
-WINDOW, STRIDE, LEAST = 8, 4, 0.6
+#: Words in a window, least share of an item's words that must match.
+WINDOW, LEAST = 8, 0.6
 #: Windows of items up to which their table may be broadcast (about 100 bytes each); beyond it Spark chooses the join.
 SMALL = 500_000
+#: Distinct windows of items up to which documents are filtered by them before their windows become rows.
+LISTED = 50_000
 #: Units that may follow a number (fixed values).
 UNITS = "kg|g|mg|km|m|cm|mm|miles?|feet|foot|inch(?:es)?|lbs?|pounds?|ounces?|litres?|liters?|ml|l|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|gb|mb|kb"
 # Private-use characters that mark placeholders; text can't bring its own.
@@ -50,24 +51,13 @@ def _blank(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
 
 
-def _windows(width: Column, stride: int) -> Column:
-    """Windows of the columns ``words`` and ``blank``: hash, place, and the values of its placeholders."""
-    places = F.when(F.size("blank") >= width, F.sequence(F.lit(1), F.size("blank") - width + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        places,
-        lambda i: F.struct(
-            F.xxhash64(F.slice("blank", i, width)).alias("hash"),
-            i.alias("place"),
-            F.filter(F.slice("words", i, width), _is_slot).alias("slots"),
-        ),
-    )
+def _hashes(width: Column) -> Column:
+    """Hashes of the windows of the column ``blank`` with their places and ``width``."""
+    places = F.when(F.size("blank") >= width, F.sequence(F.lit(1), F.size("blank") - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("blank", i, width)).alias("hash"), i.alias("place"), width.alias("width")))
 
 
-def _marked(width: int, stride: int) -> Column:
-    return F.transform(_windows(F.lit(width), stride), lambda x: F.struct(F.lit(width).alias("width"), x.alias("w")))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, least: float = LEAST, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item that it contains: ``doc_id``, ``item_id``, ``matched_words`` (of the item, on
     the best alignment), ``item_words``, ``n_slots`` (distinct placeholder values of the item there) and ``exact`` (all of
     them unchanged).
@@ -77,31 +67,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride:
     result."""
     items = benchmark.select(F.col(item_id).alias("item_id"), template_words(F.col(item_text)).alias("words")).filter("item_id is not null and words[0] <> ''")
     items = items.withColumns({"blank": _blank(F.col("words")), "n": F.size("words")}).dropDuplicates(["item_id", "words"])
-    full = window + stride - 1
     # a short item's first or last word may be left out: after other words the first one can look like a name
-    width = F.when(F.col("n") < full, F.greatest(F.col("n") - 1, F.least("n", F.lit(3)))).otherwise(window)
-    short = [r.w for r in items.filter(F.col("n") < full).select(width.alias("w")).distinct().orderBy("w").collect()]  # fewer than ``full`` numbers
-    asked = items.select("item_id", "n", width.alias("width"), F.explode(_windows(width, 1)).alias("w")).select("item_id", "n", "width", F.col("w.hash").alias("hash"), F.col("w.place").alias("item_place"), F.col("w.slots").alias("item_slots"))
-    if asked.count() <= SMALL:
+    width = F.when(F.col("n") <= window, F.greatest(F.col("n") - 1, F.least("n", F.lit(3)))).otherwise(window)
+    short = [r.w for r in items.filter(F.col("n") <= window).select(width.alias("w")).distinct().orderBy("w").collect()]  # at most ``window`` numbers
+    asked = items.withColumn("width", width).select("item_id", "n", F.col("words").alias("item_words"), F.explode(_hashes(F.col("width"))).alias("x"))
+    asked = asked.select("item_id", "n", "item_words", F.col("x.hash").alias("hash"), F.col("x.width").alias("width"), F.col("x.place").alias("item_place"))
+    listed = [r.hash for r in asked.select("hash").distinct().limit(LISTED + 1).collect()]  # bounded
+    if len(listed) <= LISTED or asked.count() <= SMALL:
         asked = F.broadcast(asked)
 
     words = docs.select(F.col(doc_id).alias("doc_id"), template_words(F.col(text)).alias("words")).filter("doc_id is not null")
     blank = words.withColumn("blank", _blank(F.col("words")))
-    sizes = [_marked(n, s) for n, s in ({window: stride} | dict.fromkeys(short, 1)).items()]
-    held = blank.select("doc_id", F.explode(F.concat(*sizes) if len(sizes) > 1 else sizes[0]).alias("x")).select("doc_id", F.col("x.width").alias("width"), F.col("x.w.hash").alias("hash"), F.col("x.w.place").alias("place"), F.col("x.w.slots").alias("slots"))
-
-    hits = held.join(asked, ["hash", "width"]).filter(F.size("slots") == F.size("item_slots"))
-    hits = hits.select("doc_id", "item_id", "n", "width", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("was"), b.alias("now"))).alias("slots"))
-    aligned = hits.groupBy("doc_id", "item_id", "n", "shift").agg(
-        F.array_sort(F.collect_set(F.struct("item_place", "width"))).alias("runs"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-    )
-    # words of the item under the union of the runs, which are in order of place
-    cover = F.aggregate("runs", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("sum")), lambda a, r: F.struct(F.greatest(a.upto, r.item_place + r.width).alias("upto"), (a["sum"] + F.greatest(F.lit(0), r.item_place + r.width - F.greatest(a.upto, r.item_place))).alias("sum")), lambda a: a["sum"])
+    sizes = [_hashes(F.lit(n)) for n in dict.fromkeys([window, *short])]
+    found = F.concat(*sizes) if len(sizes) > 1 else sizes[0]
+    if len(listed) <= LISTED:
+        found = F.filter(found, lambda x: x.hash.isin(listed))
+    held = blank.select("doc_id", "words", F.explode(found).alias("x")).select("doc_id", "words", F.col("x.width").alias("width"), F.col("x.hash").alias("hash"), F.col("x.place").alias("place"))
+
+    hits = held.join(asked, ["hash", "width"])
+    # the item's words beside those of the document on this alignment; a placeholder equals one of its type
+    shift = F.col("place") - F.col("item_place")
+    beside = F.transform("item_words", lambda w, i: F.struct(w.alias("was"), F.get("words", i + shift).alias("now")))
+    kind = lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)
+    agree = F.filter(beside, lambda x: F.coalesce(kind(x.was) == kind(x.now), F.lit(False)))
+    aligned = hits.select("doc_id", "item_id", "n", agree.alias("agree")).withColumn("matched", F.size("agree")).filter(F.col("matched") >= F.ceil(F.col("n") * least))
+    slots = F.array_distinct(F.filter("agree", lambda x: _is_slot(x.was)))
+    aligned = aligned.withColumn("slots", slots)
     values = F.transform("slots", lambda s: s.was)
-    aligned = aligned.withColumns({"matched": cover, "n_slots": F.size(F.array_distinct(values)), "exact": F.forall("slots", lambda s: s.was == s.now)})
-    # next to the last window of stride places a run may hold up to stride - 1 words more
-    good = aligned.filter((F.col("n_slots") == F.size("slots")) & (F.col("matched") + 2 * (stride - 1) >= F.ceil(F.col("n") * least)))
+    aligned = aligned.withColumns({"n_slots": F.size(F.array_distinct(values)), "exact": F.forall("slots", lambda s: s.was == s.now)})
+    good = aligned.filter(F.col("n_slots") == F.size("slots"))
     best = F.max(F.struct("matched", "exact", "n_slots", "n"))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched_words"), F.col("b.n").cast("long").alias("item_words"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.exact").alias("exact"))
 
