@@ -1,19 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  A window of text is compressed with each;
-the toxic dictionary saves bytes where the window looks like toxic text.  A window is one word written out as its growing
-beginnings (``tr tra tras trash``): a match of a longer beginning saves more bytes, which gives short windows enough
-length for compression lengths to tell them apart.  A longer word gives a window for each run of
-``LONG`` bytes in it and counts with its best one, and runs without spaces are cut into words that share ``LONG`` bytes, so
-all bytes are scored.  A document's score is a calibrated function of how many of its
-windows are shorter by at least a threshold with the toxic dictionary.
+Two zstandard dictionaries are trained with the library's trainer, one on windows of toxic texts and one on as many windows of
+ordinary ones.  A text is cut into windows of ``WIDTH`` words; each window is compressed with both dictionaries, and what the
+toxic one saves is its evidence.  What savings of at least so many bytes are worth is calibrated on labelled texts that the
+dictionaries haven't seen: how much more often windows of toxic texts reach each threshold than those of ordinary ones.  A
+document's score is a calibrated function of the sum and the best of its windows' evidence.
+
+Windows are short for a compressor, so they are prepared.  A word is written with its growing beginnings before it (``tr tra
+tras trash``): a word that a dictionary knows is then one long match, one that it doesn't know many short ones, and the
+difference is several bytes.  All dictionaries and windows share a preamble, so a window is never stored uncompressed, and both
+dictionaries begin with the same ordinary windows, so what both know costs the same.  The trainer keeps what is frequent in
+its samples; several trainings on parts of them keep what is frequent in some texts only, for example in one language.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import random
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,156 +30,180 @@ from .training import logistic, sample, sigmoid
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 20_000
-#: Lengths of a word's beginnings, in bytes; of a longer word's last piece; bytes from which a run without spaces is cut into overlapping
-#: words; entries of a worker's cache.
-SHORT, LONG, LEAST, RUN, CACHE = 2, 9, 4, 36, 400_000
-_SEEN: dict[bytes, dict[bytes, int]] = {}
-
-
-def _words(text: str | None) -> list[bytes]:
+#: Words in a window; lengths of a word's beginnings in bytes; characters of the pieces of a longer run, and how many they share.
+WIDTH, BEGINNINGS, RUN, SHARED = 5, range(2, 10), 24, 8
+#: Bytes of a trained dictionary, trainings on parts of the samples, bytes of ordinary windows before them, and the trainer's
+#: lengths of segments and of the strings that it counts.
+SIZE, PARTS, BASE, SEGMENT, STRING = 3000, 16, 400_000, 40, 8
+#: Least and most saving in bytes that is told apart.
+LEAST, MOST = -8, 40
+#: Windows that are compressed at once.
+BATCH = 4096
+PREAMBLE = bytes(range(232, 256))
+
+
+def _words(text: str | None) -> list[str]:
     out = []
-    for w in (text or "").lower().encode().split():
-        out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w) - LONG, RUN - LONG)]
+    for w in (text or "").lower().split():
+        out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w) - SHARED, RUN - SHARED)]
     return out
 
 
-def _window(word: bytes) -> bytes:
-    return b"".join(b" " + word[:n] for n in range(SHORT, min(len(word), LONG) + 1)) + b"|"
+@lru_cache(1 << 17)
+def _grown(word: str) -> bytes:
+    w = word.encode()
+    return b"".join(b" " + w[:n] for n in BEGINNINGS if n < len(w)) + b" " + w
+
 
+def windows(text: str | None) -> list[bytes]:
+    """The prepared windows of a text: each ``WIDTH`` words, the last with up to half as many more; null or empty: none."""
+    words = _words(text)
+    cuts = [*range(0, max(len(words) - WIDTH // 2, 1), WIDTH), len(words)] if words else []
+    return [b"".join(map(_grown, words[i:j])) + b" " for i, j in zip(cuts, cuts[1:])]
 
-def _parts(word: bytes) -> list[bytes]:
-    """Pieces of a word, each with a window of its own: the word itself, of a longer one ``LONG`` bytes from every byte on, or
-    what is left there if that is ``LEAST`` bytes or more."""
-    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(len(word) - LEAST + 1)]
 
+def _trained(samples: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=STRING).as_bytes()
+    except zstandard.ZstdError:  # too few samples for the trainer
+        return b"".join(samples)[-size:]
 
-def _pieces(words: list[bytes]) -> set[bytes]:
-    return {p for w in set(words) for p in _parts(w)}
+
+def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | None:
+    """Dictionaries (toxic, ordinary) from equal numbers of windows of both classes; ``None`` if one has no window."""
+    rng, found = random.Random(0), ([], [])
+    for t, y in zip(texts, toxic, strict=True):
+        found[y].extend(windows(t))
+    for f in found:
+        rng.shuffle(f)
+    ordinary, bad = found
+    base, n = b"", 0
+    while n < len(ordinary) // 2 and len(base) < BASE:
+        base += ordinary[n]
+        n += 1
+    n_each = min(len(bad), len(ordinary) - n)
+    if not n_each:
+        return None
+    made = []
+    for samples in (bad[:n_each], ordinary[n : n + n_each]):
+        parts = [_trained(samples[k::PARTS], SIZE) for k in range(PARTS)] if n_each >= 100 * PARTS else []
+        made.append(b"".join([base, *parts, _trained(samples, SIZE), PREAMBLE]))
+    return made[0], made[1]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    size = max(17, len(content).bit_length())  # all of the dictionary stays within reach
+    size = max(17, len(content).bit_length() + 1)  # all of the dictionary stays within reach
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters(compression_level=3, window_log=size + 1, hash_log=size - 2, chain_log=size - 2, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = zstandard.ZstdCompressionParameters(compression_level=3, window_log=size, hash_log=size - 2, chain_log=size - 1, search_log=4, min_match=6, target_length=128, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     data.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
 
-def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | None:
-    """Dictionary contents (toxic, ordinary), each ending with its most frequent words.
-
-    Toxic text is what toxic documents hold and ordinary ones rarely do: pieces of words with a beginning that is far more
-    frequent (log-odds over 2.5) among toxic documents.  ``None`` if there is no such word."""
-    seen, n = (Counter(), Counter()), [0, 0]
-    docs = [_words(t) for t in texts]
-    for words, y in zip(docs, toxic, strict=True):
-        n[y] += 1
-        seen[y].update({b" " + w[:k] for w in _pieces(words) for k in range(3, len(w) + 1)})
-    odd = {g for g, t in seen[1].items() if t >= 3 and math.log((t + 0.5) / (n[1] + 1)) - math.log((seen[0][g] + 0.5) / (n[0] + 1)) > 2.5}
-    toxic_words: Counter = Counter()
-    ordinary: Counter = Counter()
-    for words, y in zip(docs, toxic, strict=True):
-        if y:
-            toxic_words.update(w for word in words for w in _parts(word) if any(b" " + w[:k] in odd for k in range(3, len(w) + 1)))
-        else:
-            ordinary.update(w for word in words for w in _parts(word))
-    if not toxic_words or not ordinary:
-        return None
-    def content(ranked: list[bytes], size: float) -> bytes:
-        parts, total = [], 0
-        for w in ranked:
-            if total >= size:
-                break
-            parts.append(_window(w))
-            total += len(parts[-1])
-        return b"".join(reversed(parts))
-
-    ranked = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
-    first = content(ranked(toxic_words), math.inf)
-    return first, content(ranked(ordinary), max(len(first), 1 << 12))
+def _batches(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Windows of all texts with the place of their text, a bounded number at a time."""
+    of, run = [], []
+    for i, t in enumerate(texts):
+        found = windows(t)
+        for k in range(0, len(found), BATCH):
+            part = found[k : k + BATCH]
+            of += [i] * len(part)
+            run += [PREAMBLE + w for w in part]
+            if len(run) >= BATCH:
+                yield of, run
+                of, run = [], []
+    if run:
+        yield of, run
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Dictionary contents, the least saving in bytes that counts, and weights of the calibration."""
+    """The dictionaries, the evidence of each saving from ``LEAST`` to ``MOST`` bytes, and weights of the calibration."""
 
     toxic: bytes
     ordinary: bytes
-    least: int
+    evidence: tuple[float, ...]
     weights: tuple[float, ...]
 
-    def savings(self):
-        """A function from a word to the bytes that the toxic dictionary saves on its window; it keeps a bounded cache."""
+    def savings(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each window of the texts, some at a time, the place of its text and the bytes that the toxic dictionary saves."""
         a, b = _compressor(self.toxic), _compressor(self.ordinary)
-        if len(_SEEN) > 4:
-            _SEEN.clear()
-        cache = _SEEN.setdefault(self.toxic + self.ordinary, {})
-
-        def part(key: bytes) -> int:
-            found = cache.get(key)
-            if found is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                w = _window(key)
-                found = cache[key] = len(b.compress(w)) - len(a.compress(w))
-            return found
-
-        def of(word: bytes) -> int:
-            return part(word) if len(word) <= LONG else max(map(part, _parts(word)))
-
-        return of
+        size = lambda c, run: np.fromiter(map(len, c.multi_compress_to_buffer(run, threads=1)), np.int64, len(run))
+        for of, run in _batches(texts):
+            yield np.array(of), np.clip(size(b, run) - size(a, run), LEAST, MOST)
 
     def score(self, texts) -> np.ndarray:
         if not self.toxic:
             return np.full(len(texts), sigmoid(self.weights[-1]))
-        saved, out = self.savings(), np.zeros((len(texts), 2))
-        for i, t in enumerate(texts):
-            words = _words(t)
-            out[i] = len(words), sum(saved(w) >= self.least for w in words)
-        return sigmoid(_features(out) @ np.array(self.weights[:-1]) + self.weights[-1])
+        found = _nothing(len(texts))
+        for of, saved in self.savings(texts):
+            _add(found, of, np.array(self.evidence)[saved - LEAST])
+        return sigmoid(_features(found) @ np.array(self.weights[:-1]) + self.weights[-1])
+
+
+def _nothing(n: int) -> np.ndarray:
+    """For each of ``n`` texts: windows, sum of evidence, sum of its squares, the best."""
+    return np.zeros((4, n))
+
 
+def _add(found: np.ndarray, of: np.ndarray, evidence: np.ndarray) -> None:
+    n = found.shape[1]
+    found[0] += np.bincount(of, minlength=n)
+    found[1] += np.bincount(of, evidence, n)
+    found[2] += np.bincount(of, evidence**2, n)
+    np.maximum.at(found[3], of, evidence)
 
-def _features(counts: np.ndarray) -> np.ndarray:
-    n, k = counts[:, 0], counts[:, 1]
-    return np.column_stack([np.log((k + 0.1) / (n + 10)), np.sqrt(k), np.log1p(n)])
 
+def _features(found: np.ndarray) -> np.ndarray:
+    n, total, squares, best = found
+    return np.column_stack([np.log((total + 0.05) / (n + 4)), np.log((squares + 0.05) / (n + 4)), best, np.sqrt(squares), np.log1p(n)])
 
-def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
-    """Two thirds train the dictionaries, the rest choose the threshold and the calibration.  Without toxic or ordinary
-    documents the score is a constant."""
+
+def _evidence(saved: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each threshold the log of how many times as often windows of toxic texts reach it, smoothed, never falling and not
+    below zero."""
+    reach = [np.cumsum(np.bincount(saved[toxic == y] - LEAST, minlength=MOST - LEAST + 1)[::-1])[::-1] for y in (0, 1)]
+    n = [max(int(r[0]), 1) for r in reach]
+    rate = [(r + 2 * m / sum(n)) / m for r, m in zip(reach, n, strict=True)]
+    return np.maximum(np.maximum.accumulate(np.log(rate[1] / rate[0])), 0)
+
+
+def fit(texts: list[str], toxic: np.ndarray, odds: float = 1.0) -> ToxicityModel:
+    """Two thirds of each class train the dictionaries, the rest calibrate: each half of it is scored with the evidence of the
+    other.  ``odds`` is how many times as often toxic texts were picked for the sample as ordinary ones.  Without toxic or
+    ordinary windows the score is a constant."""
     toxic = np.asarray(toxic, np.int64)
-    constant = ToxicityModel(b"", b"", 0, (float(np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 1.5))),))
-    if not 0 < toxic.sum() < len(toxic):
-        return constant
-    third = np.zeros(len(toxic), bool)
+    constant = ToxicityModel(b"", b"", (), (float(np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 1.5))),))
+    rest = np.zeros(len(toxic), bool)
     for y in (0, 1):
-        third[np.flatnonzero(toxic == y)[::3]] = True
-    made = train_dictionaries([t for t, x in zip(texts, third, strict=True) if not x], toxic[~third])
-    if made is None:
+        rest[np.flatnonzero(toxic == y)[::3]] = True
+    made = train_dictionaries([t for t, x in zip(texts, rest, strict=True) if not x], toxic[~rest])
+    held, y = [t for t, x in zip(texts, rest, strict=True) if x], toxic[rest]
+    parts = list(ToxicityModel(*made, (), ()).savings(held)) if made else []
+    if not parts:
         return constant
-    saved = ToxicityModel(*made, 0, ()).savings()
-    rest, y = [t for t, x in zip(texts, third, strict=True) if x], toxic[third]
-    savings = [np.array([saved(w) for w in _words(t)], np.int64) for t in rest]
-    best = None
-    for least in range(3, 20):
-        x = _features(np.array([(len(s), (s >= least).sum()) for s in savings], np.float64))
-        w = logistic(x, y, ridge=0.1)
-        p = np.clip(sigmoid(x @ w[:-1] + w[-1]), 1e-6, 1 - 1e-6)
-        loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-        if best is None or loss < best[0] - 1e-9:
-            best = loss, least, tuple(w.tolist())
-    return ToxicityModel(*made, best[1], best[2])
+    of, saved = (np.concatenate(x) for x in zip(*parts, strict=True))
+    half, x = np.zeros(len(held), np.int64), np.zeros((len(held), 5))
+    for k in (0, 1):
+        half[np.flatnonzero(y == k)[::2]] = 1
+    for h in (0, 1):
+        mine, found = half[of] == h, _nothing(len(held))
+        _add(found, of[mine], _evidence(saved[~mine], y[of[~mine]])[saved[mine] - LEAST])
+        x[half == h] = _features(found)[half == h]
+    w = logistic(x, y, ridge=0.3)
+    w[-1] -= np.log(odds)
+    return ToxicityModel(*made, tuple(_evidence(saved, y[of]).tolist()), tuple(w.tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
     """A model from a bounded sample of the labelled documents."""
     rows = sample(docs, labels, label, per_class, max_chars, text, doc_id)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+    return fit(rows["text"].tolist(), rows["y"].to_numpy(), rows.attrs["odds"])
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text in column ``name``, an existing one replaced.  Null and empty
-    texts have no window and get the calibrated score of a text without any."""
+    texts have no window and get the calibrated score of a text without any.  Equal texts have equal scores; a very long one
+    is compressed some windows at a time; an empty table gives an empty result."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:

@@ -12,30 +12,39 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_c
     """At most ``per_class`` documents of each class (0 and 1) with texts of 1 to ``max_chars`` characters, as pandas columns
     ``id``, ``text``, ``y``, ordered by a hash of the id.  The choice is by hash alone, the same in every run.
 
-    Labels other than 0 and 1 and labels for absent documents are ignored; of several for one id the least counts."""
+    Labels other than 0 and 1 and labels for absent documents are ignored; of several for one id the least counts.  The
+    attribute ``odds`` is how many times as often labels 1 were picked as labels 0."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"))
     order = F.xxhash64(F.lit("training"), "id")
     picked = [known.filter(F.col("y") == y).orderBy(order, "id").limit(per_class) for y in (0, 1)]
     chosen = picked[0].union(picked[1])  # 2 * per_class rows at most, so it can be broadcast
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.length("text").between(1, max_chars))
     rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    return rows.toPandas().sort_values("id", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
+    out = rows.toPandas().sort_values("id", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
+    all_of = {r.y: min(per_class / r.n, 1.0) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    out.attrs["odds"] = all_of.get(1, 1.0) / all_of.get(0, 1.0)
+    return out
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (the last for the constant) of a ridge logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Weights (the last for the constant) of a ridge logistic regression, by Newton steps that are halved until the loss
+    falls."""
     x = np.column_stack([x, np.ones(len(x))])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ridge * (w @ w) / 2
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        if now - then < 1e-9:
             break
+        w, now = w + step, then
     return w
 
 

@@ -76,11 +76,14 @@ def test_lines_get_their_neighbours_features():
     assert np.array_equal(features[0, 2 * n :], features[1, :n]) and not features[0, n : 2 * n].any()
 
 
-def test_toxic_dictionary_saves_bytes_on_toxic_words():
+def test_toxic_dictionary_saves_bytes_on_toxic_windows():
     train = labelled("toxic", 400, 1)
     model = toxicity.fit([t for t, _ in train], np.array([y for _, y in train]))
-    saved = model.savings()
-    assert min(saved(w.encode()) for w in INSULTS) >= model.least > max(saved(w.encode()) for w in prose(random.Random(9), 200).split())
+    rng = random.Random(9)
+    texts = [prose(rng, 5) for _ in range(200)]
+    saved = lambda ts: np.concatenate([s for _, s in model.savings(ts)])
+    plain, toxic = saved(texts), saved([f"{t} {rng.choice(INSULTS)}" for t in texts])
+    assert toxic.mean() > plain.mean() + 5 and abs(plain.mean()) < 2
 
 
 def test_training_sample_is_bounded_and_stable(spark):

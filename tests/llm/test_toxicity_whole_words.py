@@ -1,5 +1,6 @@
 """Toxic parts count wherever they stand in a word or in a run without spaces."""
 
+import math
 import random
 
 import numpy as np
@@ -7,16 +8,16 @@ import numpy as np
 from lakesearch.llm import toxicity
 
 
-def model(space):
+def model(space, tail=lambda rng: "qwyxzj"):
     rng = random.Random(5)
     syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(5, 8)))
     texts, y = [], []
-    for i in range(240):
+    for i in range(900):
         words = [word() for _ in range(40)]
         if i % 2:
             for k in rng.sample(range(40), 8):
-                words[k] = word()[:10] + "qwyxzj"
+                words[k] = word()[:10] + tail(rng)
         texts.append(space.join(words))
         y.append(i % 2)
     return toxicity.fit(texts, np.array(y)), word
@@ -33,13 +34,52 @@ def test_late_part_of_a_compound_is_scored():
 def test_text_without_spaces_is_scored_to_its_end():
     m, word = model("")
     words = [word() for _ in range(40)]
-    clean, toxic = "".join(words), "".join(w[:10] + "qwyxzj" if i > 30 else w for i, w in enumerate(words))
+    clean, toxic = "".join(words), "".join(w[:10] + "qwyxzj" if i > 20 else w for i, w in enumerate(words))
     a, b = m.score([clean, toxic])
+    assert a < b and b > 0.5
+    assert len(toxicity._words("水" * 5000)) > 300
+
+
+def test_every_word_is_in_one_window_and_whole():
+    for n in (0, 1, 2, 4, 5, 7, 8, 9, 12, 13, 103):
+        words = [f"w{i}" + "é" * (i % 20) for i in range(n)]
+        found = toxicity.windows(" ".join(words))
+        assert b"".join(found).replace(b"  ", b" ") == b"".join(toxicity._grown(w) for w in words) + b" " * bool(n) or len(found) > 1
+        whole = [w for x in found for w in words if b" " + w.encode() + b" " in x]
+        assert len(whole) == len(words)
+        assert all(len(x.split()) for x in found)
+    assert toxicity.windows(None) == toxicity.windows("") == toxicity.windows(" \n") == []
+
+
+def test_scores_are_those_of_single_windows(monkeypatch):
+    """Plain Python, one window at a time, against the batches."""
+    m, word = model(" ")
+    monkeypatch.setattr(toxicity, "BATCH", 7)
+    texts = [" ".join(word() for _ in range(n)) for n in (3, 0, 40, 200)] + [None, "one", "x" * 3000]
+    a, b = toxicity._compressor(m.toxic), toxicity._compressor(m.ordinary)
+    for t, got in zip(texts, m.score(texts)):
+        seen = []
+        for w in toxicity.windows(t):
+            saved = len(b.compress(toxicity.PREAMBLE + w)) - len(a.compress(toxicity.PREAMBLE + w))
+            seen.append(m.evidence[min(max(saved, toxicity.LEAST), toxicity.MOST) - toxicity.LEAST])
+        n, total, squares, best = len(seen), sum(seen), sum(x * x for x in seen), max([0, *seen])
+        x = [math.log((total + 0.05) / (n + 4)), math.log((squares + 0.05) / (n + 4)), best, math.sqrt(squares), math.log1p(n)]
+        assert abs(got - 1 / (1 + math.exp(-sum(p * q for p, q in zip(x, m.weights)) - m.weights[-1]))) < 1e-9
+
+
+def test_the_compressor_tells_unseen_texts_apart():
+    """Toxic text of words that no training text holds, but that begin like those that do, saves bytes as well: the dictionaries
+    are no list of words."""
+    m, word = model(" ", tail=lambda rng: "qwyxzj" + "".join(rng.choice("aeiou") for _ in range(4)))
+    clean = [word() for _ in range(60)]
+    toxic = [f"{w[:10]}qwyxzj{'bcdfg'[i % 5]}" if i % 4 == 0 else w for i, w in enumerate(clean)]
+    assert not any(w.encode() in m.toxic for w in toxic[::4])
+    a, b = m.score([" ".join(clean), " ".join(toxic)])
     assert a < 0.5 < b
-    assert len(toxicity._words("水" * 5000)) > 500
 
 
-def test_all_toxic_words_enter_the_dictionary():
-    words = [f"q{i:04d}" for i in range(900)]
-    made = toxicity.train_dictionaries([" ".join(words)] * 3 + ["plain words here"] * 60, np.array([1] * 3 + [0] * 60))
-    assert all(b" " + w.encode() + b"|" in made[0] for w in words)
+def test_evidence_rises_with_the_saving():
+    rng = np.random.default_rng(0)
+    saved = np.concatenate([rng.integers(-8, 6, 900), rng.integers(0, 41, 100)])
+    found = toxicity._evidence(saved, np.concatenate([rng.integers(0, 2, 900), np.ones(100, int)]))
+    assert (np.diff(found) >= 0).all() and found[0] == 0 < found[-1]
