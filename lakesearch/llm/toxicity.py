@@ -31,10 +31,10 @@ from .training import logistic, sample, sigmoid
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 20_000
 #: Words in a window; lengths of a word's beginnings in bytes; characters of the pieces of a longer run, and how many they share.
-WIDTH, BEGINNINGS, RUN, SHARED = 5, range(2, 10), 24, 8
+WIDTH, BEGINNINGS, RUN, SHARED = 6, range(2, 10), 24, 8
 #: Bytes of a trained dictionary, trainings on parts of the samples, bytes of ordinary windows before them, and the trainer's
 #: lengths of segments and of the strings that it counts.
-SIZE, PARTS, BASE, SEGMENT, STRING = 3000, 16, 400_000, 40, 8
+SIZE, PARTS, BASE, SEGMENT, STRING = 3000, 16, 250_000, 40, 8
 #: Least and most saving in bytes that is told apart.
 LEAST, MOST = -8, 40
 #: Windows that are compressed at once.
