@@ -4,12 +4,22 @@ A page is cut into blocks at block-level tags.  The first pass decides blocks by
 footers, sidebars, notices, adverts, forms, comments), by the share of their text inside links, by length and by the
 density of stop words; short blocks stay open, and so do longer ones with few stop words.  The second pass gives open
 blocks the label of the nearest decided neighbours.
+
+Where a block stands is told by tags (``nav``, ``footer``, ...) and by marks: words in ``class``, ``id`` and ``role``, and
+``form``.  A mark is evidence only: an element that holds most of the page's articles, or without articles most of its dense
+text, isn't what its mark says (a layout called ``right-sidebar``, a form around the whole page).  ``html``, ``body`` and
+``main`` have no marks, and ``article`` none but that of a comment.
+
+Markup may be broken.  Elements end with their parents; ``script``, ``style`` and ``textarea`` without an end and open comments
+reach to the end of the page as in browsers, other elements whose content isn't text end at the next paragraph or section.
+Every character is looked at a bounded number of times.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,92 +28,258 @@ from pyspark.sql import functions as F
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = frozenset("the of and to in is that it for was with as on be at by this are from or an not have but which they you his her der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an le la les de des du un une et est que qui dans pour par sur au avec ne se pas plus el los las y en por con para una su al lo como más".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-_HOLDS = frozenset("article aside body div dl fieldset figure footer form head header html li main menu nav ol section table td tr ul".split())
-_BAD_TAGS = frozenset("nav footer aside form menu head fieldset dialog".split())
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|svg|textarea|select|iframe|object|button|math|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Words in class, id or role that name something other than main text (fixed values).
-_BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+_HOLDS = frozenset("article aside body dialog div dl fieldset figure footer form head header html li main menu nav ol section table td tr ul".split())
+#: Elements whose own kind opens beside them, not inside.
+_SIBLINGS = frozenset("li td tr".split())
+_BAD_TAGS = frozenset("nav footer aside menu head".split())
+#: Elements that may be wrapped around a whole page.
+_MARKED_TAGS = frozenset("form fieldset dialog".split())
+#: Elements whose content is no markup; without an end tag the first three reach to the end of the page, the others are left out.
+_RAW = frozenset("script style textarea iframe noembed noframes xmp title".split())
+_TO_THE_END = frozenset("script style textarea".split())
+#: Elements whose content is no text of the page, and tags that don't stand in them.
+_SKIPPED = frozenset("noscript template svg select object button math canvas audio video".split())
+_NOT_SKIPPED = frozenset("article body footer form h1 h2 h3 h4 h5 h6 header main nav ol p section table ul".split())
+_IN_HEAD, _PARTS = frozenset("html head title".split()), frozenset("article body main".split())
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"'<]|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_NEXT = re.compile(r"""=\s*+(["'])|>""")
+_NAMED = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+_CLOSING = re.compile(r"</([a-zA-Z]+)")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _RAW}
+#: Words in class, id or role that name something other than main text, and those of comments (fixed values).
+_BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Parts of names that say that something is absent or switched (fixed values).
+_STATES = frozenset("no not without open closed enabled disabled off on".split())
 _SPACE = re.compile(r"[\s ]+")
 
 SHORT, LONG, LINKS, FEW, MANY = 70, 200, 0.33, 0.15, 0.25
 
 
-class _Blocks:
+class Tags:
+    """Tags of a page, read from a place on: (start, end, closing, name, attributes); comments and declarations have no name."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unclosed: set[str] = set()
+        self.quotes = True
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1."""
+        start = at
+        while self.quotes:
+            m = _NEXT.search(self.page, at)
+            if m is None:
+                self.quotes = False  # no tag from here on is complete with its quotes, so they mean nothing any more
+            elif m[1] is None:
+                return m.start()
+            elif m[1] in self.unclosed:
+                at = m.end()
+            elif (close := self.page.find(m[1], m.end())) < 0:
+                self.unclosed.add(m[1])
+                at = m.end()
+            else:
+                at = close + 1
+        return self.page.find(">", start)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if m := _PLAIN.match(page, at):
+                return at, m.end(), bool(m[1]), m[2].lower(), m[3]
+            if m := _NAME.match(page, at):
+                end = self._end(m.end())
+                return (at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]) if end >= 0 else None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            if page.startswith("<![CDATA[", at):
+                return at, at + 9, False, "", ""
+            if page.startswith(("<!", "<?", "</"), at):
+                end = page.find(">", at)
+                return (at, end + 1, False, "", "") if end >= 0 else None
+            at += 1
+        return None
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(marked as something other than main text, marked as comments)"""
+    if tag in ("html", "body", "main"):
+        return False, False
+    marked = tag in _MARKED_TAGS
+    for m in _NAMED.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = re.split(r"[^a-z0-9]+", name)
+            if not _STATES.isdisjoint((parts[0], parts[-1])):
+                continue
+            if not _COMMENTS.isdisjoint(parts):
+                return marked, True
+            marked |= tag != "article" and not _BAD_NAMES.isdisjoint(parts)
+    return marked, False
+
+
+class _Page:
+    """Blocks of a page while its tags are read."""
+
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, bool, bool, bool]] = []
+        self.blocks: list[tuple[str, int, bool, int, bool, bool]] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
+        self.open: list[tuple[str, int, int, int, int]] = []
+        self.names: Counter[str] = Counter()
+        #: Parent of each mark; the first stands for none.
+        self.marks = [0]
+        self.bad = self.inside = self.skipped = self.mark = 0
+        self.links = self.heading = False
+
+    def text(self, piece: str) -> None:
+        if piece and not self.skipped:
+            self.parts.append(piece)
+            if self.links:
+                self.linked.append(piece)
 
-    def end(self, bad: bool, inside: bool, heading: bool) -> None:
+    def end(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                self.out.append((text, len(_SPACE.sub(" ", html.unescape("".join(self.linked))).strip()), bad, inside, heading))
+                linked = len(_SPACE.sub(" ", html.unescape("".join(self.linked))).strip()) if self.linked else 0
+                self.blocks.append((text, linked, self.bad > 0, self.mark, self.inside > 0, self.heading))
             self.parts, self.linked = [], []
 
+    def pop(self) -> str:
+        tag, bad, inside, skipped, mark = self.open.pop()
+        self.names[tag] -= 1
+        self.bad, self.inside, self.skipped, self.mark = self.bad - bad, self.inside - inside, self.skipped - skipped, mark
+        return tag
 
-def _is_bad(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _BAD_TAGS or (tag == "header" and not inside):
-        return True
-    for m in _NAMED.finditer(attributes):
-        if not _BAD_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    def skip(self, tag: str) -> None:
+        self.open.append((tag, 0, 0, 1, self.mark))
+        self.names[tag] += 1
+        self.skipped += 1
+
+    def push(self, tag: str, attributes: str) -> None:
+        marked, comments = _marks(tag, attributes)
+        bad = int(tag in _BAD_TAGS or comments or (tag == "header" and not self.inside))
+        inside = int(tag in ("article", "main") and not bad)
+        self.open.append((tag, bad, inside, 0, self.mark))
+        self.names[tag] += 1
+        self.bad, self.inside = self.bad + bad, self.inside + inside
+        if marked and not bad:
+            self.marks.append(self.mark)
+            self.mark = len(self.marks) - 1
+
+    def close(self, tag: str) -> None:
+        if self.names[tag]:
+            while self.pop() != tag:
+                pass
 
 
 def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters in links, in a part that isn't main text, in an article or main part, heading) by block."""
-    page = _SKIP.sub(" ", page or "")
-    found, open_, links, heading, at = _Blocks(), [], 0, 0, 0
-    bad = inside = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            found.parts.append(piece)
-            if links:
-                found.linked.append(piece)
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag == "a":
-            links = 0 if closing else 1
-        elif tag == "br":
-            found.parts.append(" ")
+    page = page or ""
+    p, at, tags = _Page(), 0, Tags(page)
+    left = Counter(t for t in (m[1].lower() for m in _CLOSING.finditer(page)) if t in _SKIPPED)
+    missing: set[str] = set()
+    while found := tags.after(at):
+        start, end, closing, tag, attributes = found
+        p.text(page[at:start])
+        at = end
+        alone = attributes.rstrip().endswith("/")
+        if tag in _RAW and not closing:
+            p.text(" ")
+            if tag in missing or (alone and tag not in _TO_THE_END):
+                continue
+            if m := _ENDS[tag].search(page, at):
+                at = m.start()
+            elif tag in _TO_THE_END:
+                at = len(page)
+            else:
+                missing.add(tag)
+        elif tag in _SKIPPED:
+            p.text(" ")
+            if closing:
+                left[tag] -= 1
+                p.close(tag)
+            elif not alone and left[tag] > 0:
+                if tag == "button":
+                    p.close(tag)
+                p.skip(tag)
+        elif tag == "a":
+            p.links = not closing
         elif tag in _BLOCK:
-            found.end(bad > 0, inside > 0, heading > 0)
-            heading = int(not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
-            links = 0
-            if tag in _HOLDS and not m[3].rstrip().endswith("/"):
-                if not closing:
-                    open_.append((tag, b := _is_bad(tag, m[3], inside > 0), i := tag in ("article", "main")))
-                    bad, inside = bad + b, inside + i
-                elif any(t == tag for t, *_ in open_):
-                    while True:
-                        t, b, i = open_.pop()
-                        bad, inside = bad - b, inside - i
-                        if t == tag:
-                            break
-    found.parts.append(page[at:])
-    found.end(bad > 0, inside > 0, False)
-    return found.out
+            if not closing and tag in _NOT_SKIPPED:
+                while p.skipped:
+                    p.pop()
+            if not p.skipped:
+                p.end()
+                p.heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+                p.links = False
+            if tag not in _HOLDS:
+                if tag not in _IN_HEAD:
+                    p.close("head")
+            elif closing:
+                p.close(tag)
+            elif not alone or tag in _PARTS:
+                if tag not in _IN_HEAD:
+                    p.close("head")
+                if tag in _SIBLINGS and p.open and p.open[-1][0] == tag:
+                    p.pop()
+                p.push(tag, attributes)
+        elif not tag or tag == "br":
+            p.text(" ")
+    p.text(page[at:])
+    p.end()
+    wrong = _believed(p)
+    return [(text, linked, bad or wrong[mark], inside, heading) for text, linked, bad, mark, inside, heading in p.blocks]
+
+
+def _density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _is_prose(text: str, linked: int) -> bool:
+    if len(text) < SHORT or linked > LINKS * len(text):
+        return False
+    density = _density(text)
+    return density >= MANY or (density >= FEW and len(text) > LONG)
+
+
+def _believed(p: _Page) -> list[bool]:
+    """For each mark: is it, or one around it, believed?  Not if it holds most of what the page has in articles, or, without
+    articles, most of its dense text."""
+    if len(p.marks) == 1:
+        return [False]
+    n = len(p.marks)
+    held, dense = [0] * n, [0] * n
+    for text, _, bad, mark, inside, _ in p.blocks:
+        held[mark] += len(text) if inside and not bad else 0
+    articles = any(held)
+    for text, linked, bad, mark, _, _ in p.blocks:
+        if not (articles or bad) and _is_prose(text, linked):
+            dense[mark] += len(text)
+    for mark in range(n - 1, 0, -1):
+        held[p.marks[mark]] += held[mark]
+        dense[p.marks[mark]] += dense[mark]
+    out = [False] * n
+    for mark in range(1, n):
+        most = 2 * held[mark] > held[0] if articles else dense[mark] > max(LONG, dense[0] // 2)
+        out[mark] = out[p.marks[mark]] or not most
+    return out
 
 
 def classify(page: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """Is each block main text?"""
     labels: list[bool | None] = []
     for text, linked, bad, inside, heading in page:
-        words = text.lower().split()
-        density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
         if bad or linked > LINKS * len(text):
             labels.append(False)
         elif heading or len(text) < SHORT:
             labels.append(None)
-        elif inside or density >= MANY or (density >= FEW and len(text) > LONG):
+        elif inside or _is_prose(text, linked):
             labels.append(True)
-        elif density < FEW and linked:
+        elif linked and _density(text) < FEW:
             labels.append(False)
         else:
             labels.append(None)
@@ -139,7 +315,10 @@ def main_text(page: str | None) -> str:
 
 
 def with_main_text(pages: DataFrame, html_column: str = "html", name: str = "text") -> DataFrame:
-    """``pages`` with the main text of each whole page in column ``name``, an existing one replaced."""
+    """``pages`` with the main text of each whole page in column ``name``, an existing one replaced.
+
+    Null, empty and broken pages, and such without main text, give ''; equal rows give equal rows, an empty table an empty
+    result.  A page is read in time in proportion to its length, whatever its markup."""
 
     @F.pandas_udf("string")
     def of(source: pd.Series) -> pd.Series:
