@@ -6,13 +6,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ACCENTED, PLAIN
+from .functions import ACCENTED, PLAIN, document_id
+from .operators import keyword
 from .operators.ranking import read_embeddings
-from .plans import Index
+from .operators.sync import managed_documents
+from .plans import Base, Index, index_documents
+from .sources import shared_dir
 
 EPOCH = 1_704_067_200
 DIM = 64
@@ -106,26 +111,80 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(v, F.col("query_id") == F.col("vec_id"), "left").select("query_id", "query", "query_vec")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    d = docs(spark, sf_dir).drop("text").join(metadata(spark, sf_dir), "doc_id", "left")
-    return Index(d, chunks(spark, sf_dir), vectors(spark, sf_dir))
+    """The index of ``sf_dir``, built and stored by the first query of a session that needs it."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _STORED:
+        d = docs(spark, sf_dir).drop("text").join(metadata(spark, sf_dir), "doc_id", "left")
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        Index(d, chunks(spark, sf_dir), vectors(spark, sf_dir)).write(path)
+        _STORED[known] = path
+    return Index.read(spark, _STORED[known])
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query, query_vec, expect): paths of the documents that contain the item.
 
-    Documents that may contain an item are found by a join on runs of four words; only those are searched."""
+    An item's words but the first and last are whole words of such a document; the first four of them are looked up among
+    the runs of words of all documents, and only what has one is searched.  Items of one or two words have no such run and are
+    searched for in all documents."""
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    run = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
     q = queries(spark, sf_dir)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
-    first = q.select("query_id", "query", words(F.col("query")).alias("w")).select("query_id", "query", F.array_join(F.slice("w", 2, 4), " ").alias("run"))
-    held = docs(spark, sf_dir).select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
-    pairs = held.join(first, "run").select("query_id", "query", "doc_id").distinct()
-    found = pairs.join(docs(spark, sf_dir), "doc_id").filter(F.contains("text", "query"))
-    expect = found.groupBy("query_id").agg(F.array_sort(F.collect_set("rel_path")).alias("expect"))
+    asked = q.select("query_id", "query", words(F.col("query")).alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
+    first = asked.filter("n > 0").select("query_id", "query", run("w", F.lit(2), F.col("n")).alias("run"), "n")
+    known = first.select("n", "run").distinct().limit(keyword.LISTED + 1).collect()  # bounded
+    d = docs(spark, sf_dir)
+    held = d.select("doc_id", words(F.col("text")).alias("w"))
+    found = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: run("w", i, n)) for n in sorted({r.n for r in known})))) if known else F.array().cast("array<string>")
+    if len(known) <= keyword.LISTED:
+        found = F.filter(found, lambda r: r.isin([k.run for k in known])) if known else found
+    pairs = held.select("doc_id", F.explode(F.array_distinct(found)).alias("run")).join(first, "run").select("query_id", "query", "doc_id").distinct()
+    short = asked.filter("n <= 0").select("query_id", "query")
+    matched = pairs.join(d, "doc_id").filter(F.contains("text", "query")).select("query_id", "rel_path")
+    if not short.isEmpty():
+        matched = matched.union(d.join(F.broadcast(short), F.contains("text", "query")).select("query_id", "rel_path"))
+    expect = matched.groupBy("query_id").agg(F.array_sort(F.collect_set("rel_path")).alias("expect"))
     return q.join(expect, "query_id", "left").withColumn("expect", F.coalesce("expect", F.array().cast("array<string>")))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel_path, length, content): documents as files, some of other kinds, in folders with a dot or outside of the root."""
+    n = F.col("doc_id") % 6
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".GO", ".png", ".drawio", ".md"))), (n + 1).cast("int"))
+    folder = F.when(F.col("doc_id") % 7 == 0, ".hidden/").when(F.col("doc_id") % 11 == 0, "../").when(F.col("doc_id") % 13 == 0, "a/.git/").otherwise("notes/")
+    return docs(spark, sf_dir).select(F.concat(folder, "source_name", F.lit("-"), "doc_id", ext).alias("rel_path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+
+
+def old_base(spark: SparkSession, sf_dir: str) -> Base:
+    """The tables of the earlier sync that ``manifest`` tells of."""
+    d = docs(spark, sf_dir).filter(F.col("doc_id") % 10 != 8)
+    was = d.withColumns({"text": F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("old"))).otherwise(F.col("text")), "doc_id": document_id("source_name", "rel_path"), "title": F.lit("t")})
+    made, vecs = index_documents(was, lengths_embedder, 2)
+    return Base(was.drop("text"), made, vecs, manifest(spark, sf_dir))
+
+
+def managed_base(spark: SparkSession, sf_dir: str) -> Base:
+    """A knowledge base that holds an older text of the first write of each conversation."""
+    was = writes(spark, sf_dir).filter("kb = 'notes' and endswith(key, '-0')").withColumn("content", F.lit("old text"))
+    d = managed_documents(was, F.col("kb")).withColumn("doc_id", document_id("kb", "source_name", "rel_path"))
+    made, vecs = index_documents(d.select("doc_id", F.concat("rel_path", F.lit(".md")).alias("rel_path"), "title", F.col("content").alias("text")), lengths_embedder, 2)
+    return Base(d, made, vecs, d.select("kb", "source_name", "rel_path", "size_bytes", "mtime", "content_sha256"))
+
+
+def contents_of(spark: SparkSession, sf_dir: str):
+    """Reads the texts of keys."""
+    return lambda keys: docs(spark, sf_dir).select("source_name", "rel_path", "text").join(keys, ["source_name", "rel_path"], "left_semi")
+
+
+def lengths_embedder(texts: list[str]) -> np.ndarray:
+    """In place of a model: a text's length and twice that."""
+    return np.array([[len(t), 2 * len(t)] for t in texts])
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kb, op, seconds, source_name, rel_path, ts) from events."""
     e = table(spark, sf_dir, "events")
@@ -182,6 +241,7 @@ SQL = {
     "pg_kept": "SELECT *, CAST(len(string_split(text, '\n')) AS INTEGER) AS n FROM pg_trim WHERE strlen(text) >= 20",
     "pg_start": "SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS INTEGER) AS start_line FROM pg_kept",
     "pg_blocks": "SELECT doc_id, page_no AS block_no, 'Page ' || page_no AS heading_path, start_line, start_line + n - 1 AS end_line, text FROM pg_start",
+    "fls": "SELECT CASE WHEN doc_id % 7 = 0 THEN '.hidden/' WHEN doc_id % 11 = 0 THEN '../' WHEN doc_id % 13 = 0 THEN 'a/.git/' ELSE 'notes/' END || source_name || '-' || doc_id || ['.md', '.txt', '.GO', '.png', '.drawio', '.md'][doc_id % 6 + 1] AS rel_path, CAST(strlen(text) AS BIGINT) AS size_bytes, text FROM docs",
     "lst": f"SELECT source_name, rel_path, CAST(strlen(text) AS BIGINT) AS size_bytes, {EPOCH} + doc_id + CASE WHEN doc_id % 10 IN (1, 2) THEN 3600 ELSE 0 END AS mtime, sha256(text) AS content_sha256 FROM docs WHERE doc_id % 10 <> 9",
     "mnf": f"SELECT source_name, rel_path, CAST(strlen(text) AS BIGINT) + CASE WHEN doc_id % 10 = 2 THEN 3 ELSE 0 END AS size_bytes, {EPOCH} + doc_id AS mtime, CASE WHEN doc_id % 10 = 2 THEN sha256(text || 'old') ELSE sha256(text) END AS content_sha256 FROM docs WHERE doc_id % 10 <> 8",
     "diff": """SELECT coalesce(l.source_name, m.source_name) AS source_name, coalesce(l.rel_path, m.rel_path) AS rel_path,

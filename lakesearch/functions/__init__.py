@@ -211,6 +211,17 @@ def render_uri(kind: Column, base: Column, branch: Column, path: Column) -> Colu
     )
 
 
+def document_id(*key: Column | str) -> Column:
+    """128 bits of a digest of a document's key, as hex; parts of the key are told apart by their lengths."""
+    parts = [F.col(k) if isinstance(k, str) else k for k in key]
+    return F.left(F.sha2(F.concat(*(F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts)), 256), F.lit(32))
+
+
+def chunk_id(doc_id: Column, seq: Column) -> Column:
+    """Id of a document's chunk; in order of ``seq`` within a document."""
+    return F.concat(doc_id, F.lit("-"), F.lpad(seq.cast("string"), 9, "0"))
+
+
 def memory_id(ts: Column, key: Column) -> Column:
     """Time and eight hex digits; a hash of ``key`` stands for a random number, so reruns agree."""
     return F.concat(F.lit("memory_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.sha2(key, 256), 1, 8))

@@ -20,6 +20,8 @@ from ..functions import RRF_K, norm, relevance, sigmoid
 CANDIDATES, POOL, LIMIT, MAX_PER_DOC = 50, 24, 8, 2
 #: Query vectors in a block that is sent to all tasks (with 1,024 dimensions: 32 MB).
 BLOCK = 4096
+#: Scores that a matrix product makes at once (32 MB).
+CELLS = 1 << 22
 PLACES = 9
 
 
@@ -43,10 +45,11 @@ def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, bloc
     """(query_id, chunk_id, cosine, vec_rank), the ``k`` nearest of ``vectors`` (chunk_id, embedding, norm) for
     each of ``queries`` (query_id, query_vec), exactly.
 
-    Queries go to the tasks in blocks of bounded size.  A batch of vectors is compared with a block by one matrix product
-    and keeps ``k`` candidates for each query, so all pairs never exist as rows.  Vectors and queries without length have
-    no neighbours.  With several blocks the vectors are scanned once for each."""
-    asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
+    Queries go to the tasks in blocks of bounded size.  A batch of vectors is compared with a block by matrix products of at
+    most ``CELLS`` scores and keeps ``k`` candidates for each query, so all pairs never exist as rows.  Vectors and queries
+    without length have no neighbours.  With several blocks the vectors are scanned once for each.  With a column
+    ``filter_no`` queries only see the vectors whose array ``passes`` is true at that place (from 0)."""
+    asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec", *(["filter_no"] if "filter_no" in queries.columns else []))
     n = asked.count()
     parts = []
     for b in range(max(1, -(-n // block))):
@@ -54,34 +57,40 @@ def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, bloc
         rows = mine.limit(2 * block + 1).toPandas()  # bounded by the block size
         if len(rows) > 2 * block:
             raise ValueError("queries share too many hash values for blocks of this size")
-        parts.append(_nearest(rows, vectors.filter("norm > 0"), k))
+        parts.append(_nearest(rows, queries.schema["query_id"].dataType.simpleString(), vectors.filter("norm > 0"), k))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return ranked(out, "cosine", "vec_rank", k)
 
 
-def _nearest(queries: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _nearest(queries: pd.DataFrame, id_type: str, vectors: DataFrame, k: int) -> DataFrame:
     q = np.array(queries["query_vec"].tolist(), np.float64).reshape(len(queries), -1)
     size = np.sqrt((q * q).sum(axis=1))
     ids, q = queries["query_id"].to_numpy()[size > 0], q[size > 0] / size[size > 0, None]
+    filters = queries["filter_no"].to_numpy()[size > 0] if "filter_no" in queries else None
+    columns = ["chunk_id", "embedding", "norm", *(["passes"] if filters is not None else [])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chunk = b.column("chunk_id").to_numpy()
-            if not len(chunk) or not len(ids):
-                continue
-            x = b.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(chunk), -1)
-            scores = (q @ x.T) / b.column("norm").to_numpy()[None, :]
-            if len(chunk) > k:
-                # everything at the k-th score or above stays, so ties are settled by id later
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                i, j = np.nonzero(scores >= least[:, None] - 2 * 10.0**-PLACES)
-            else:
-                i, j = np.nonzero(np.ones_like(scores, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(scores[i, j])], ["query_id", "chunk_id", "cosine"])
-
-    return vectors.select("chunk_id", "embedding", "norm").mapInArrow(each, "query_id long, chunk_id long, cosine double")
+        for whole in batches:
+            step = max(1, CELLS // max(1, len(ids)))
+            for at in range(0, whole.num_rows if len(ids) else 0, step):
+                b = whole.slice(at, step)
+                x = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+                scores = (q @ x.T) / b.column("norm").to_numpy()[None, :]
+                if filters is not None:
+                    scores[~np.stack(b.column("passes").to_numpy(zero_copy_only=False)).astype(bool).T[filters]] = -np.inf
+                if b.num_rows > k:
+                    # everything at the k-th score or above stays, so ties are settled by id later
+                    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                    keep = scores >= least[:, None] - 2 * 10.0**-PLACES
+                else:
+                    keep = np.ones_like(scores, bool)
+                i, j = np.nonzero(keep & (scores > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), b.column("chunk_id").take(pa.array(j)), pa.array(scores[i, j])], ["query_id", "chunk_id", "cosine"])
+
+    chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
+    return vectors.select(*columns).mapInArrow(each, f"query_id {id_type}, chunk_id {chunk_type}, cosine double")
 
 
 def rrf_fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import file_ext, format_of, metadata_matches, relevance, trim_all
+from ..functions import base_title, chunk_id, document_id, file_ext, format_of, metadata_matches, relevance, trim_all
 from ..operators import chunking, evaluate, extract, keyword, ranking, sync
 
 #: Options of a query where it gives none.
@@ -30,27 +31,57 @@ class Index:
     """The tables that a search reads: documents (doc_id, source_name, rel_path, metadata, ...), chunks (chunk_id, doc_id,
     text, ...), postings, chunk lengths and vectors (chunk_id, embedding, norm)."""
 
+    TABLES = ("docs", "chunks", "vectors", "postings", "lengths")
+
     def __init__(self, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None):
         self.docs, self.chunks, self.vectors = docs, chunks, vectors
         self.postings = keyword.postings(chunks) if postings is None else postings
         self.lengths = keyword.chunk_lengths(chunks) if lengths is None else lengths
 
-
-def candidates(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """The two legs of a search, ranked, 50 for each query."""
-    words = ranking.ranked(keyword.bm25(queries, index.postings, index.lengths), "bm25", "fts_rank", ranking.CANDIDATES)
-    return words, ranking.knn_cosine(queries, index.vectors)
-
-
-def search(queries: DataFrame, index: Index, scorer: Callable[[list[str], list[str]], list[float]] | Column | None = None) -> DataFrame:
+    def write(self, path: str) -> Index:
+        """The index stored below ``path`` and read from there: built once, searched many times."""
+        for name in self.TABLES:
+            table = getattr(self, name)
+            (keyword.in_order(table) if name == "postings" else table).write.parquet(f"{path}/{name}")
+        return Index.read(self.docs.sparkSession, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.TABLES))
+
+
+#: Distinct metadata filters that a prefiltered search may have at once.
+FILTERS = 64
+
+
+def candidates(queries: DataFrame, index: Index, prefilter: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The two legs of a search, ranked, 50 for each query; with ``prefilter`` 50 that pass the query's metadata filter."""
+    scores = keyword.bm25(queries, index.postings, index.lengths)
+    if not prefilter:
+        return ranking.ranked(scores, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(queries, index.vectors)
+    as_text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("filter"))))
+    asked = queries.withColumn("asked", F.coalesce(as_text, F.lit("{}")))
+    known = [r.asked for r in asked.select("asked").distinct().orderBy("asked").limit(FILTERS + 1).collect()]  # bounded
+    if len(known) > FILTERS:
+        raise ValueError(f"more than {FILTERS} different filters in one search")
+    texts = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
+    numbered = asked.withColumn("filter_no", (F.array_position(texts, F.col("asked")) - 1).cast("int")).drop("asked")
+    passes = F.transform(texts, lambda t: metadata_matches(F.col("metadata"), F.from_json(t, "map<string,string>")))
+    allowed = index.chunks.select("chunk_id", "doc_id").join(index.docs.select("doc_id", passes.alias("passes")), "doc_id").select("chunk_id", "passes")
+    words = scores.join(numbered.select("query_id", "filter_no"), "query_id").join(allowed, "chunk_id").filter(F.get("passes", F.col("filter_no")))
+    words = ranking.ranked(words.select("query_id", "chunk_id", "bm25"), "bm25", "fts_rank", ranking.CANDIDATES)
+    return words, ranking.knn_cosine(numbered, index.vectors.join(allowed, "chunk_id"))
+
+
+def search(queries: DataFrame, index: Index, scorer: Callable[[list[str], list[str]], list[float]] | Column | None = None, prefilter: bool = False) -> DataFrame:
     """L1: hits (query_id, rank, relevance, rrf, fts_rank, vec_rank, chunk and document columns) for all ``queries`` at once.
 
     Ranks are worked out on ids alone; chunk and document columns are fetched for what is left after the cut to
-    ``fetch_k``.  The metadata filter comes after retrieval, the cap after reranking, the least score after the limit.
-    Without ``scorer`` no query is reranked."""
+    ``fetch_k``.  The metadata filter comes after retrieval (with ``prefilter`` before it, so that it doesn't cost hits), the
+    cap after reranking, the least score after the limit.  Without ``scorer`` no query is reranked."""
     asked = with_defaults(queries)
     options = asked.select("query_id", "query", "limit", "min_score", (F.col("rerank") & F.lit(scorer is not None)).alias("rerank"), "max_per_doc", "filter")
-    fused = ranking.fused_rank(ranking.rrf_fuse(*candidates(asked, index))).join(options, "query_id")
+    fused = ranking.fused_rank(ranking.rrf_fuse(*candidates(asked, index, prefilter))).join(options, "query_id")
     cut = fused.filter(F.col("rank") <= ranking.fetch_k(F.col("limit"), F.col("rerank"), F.col("max_per_doc")))
     hits = ranking.hydrate_hits(cut, index.chunks, index.docs).filter(metadata_matches(F.col("metadata"), F.col("filter")))
     hits = hits.withColumn("relevance", relevance(F.col("rrf")))
@@ -80,31 +111,74 @@ def index_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], d
     """(chunks, vectors) of ``docs`` (doc_id, rel_path, title, text)."""
     chunks = chunking.chunk_blocks(extract_blocks(docs), max_tokens, overlap)
     chunks = chunking.contextualize_chunks(chunks, docs, contextualizer) if contextualizer else chunks.withColumn("context", F.lit(""))
-    chunks = chunks.withColumn("chunk_id", F.xxhash64("doc_id", "seq"))
+    chunks = chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("seq")))
     made = chunking.embed_texts(chunking.with_embedding_text(chunks), embed, dim)
     return chunks, ranking.read_embeddings(made.select("chunk_id", "embedding"), dim)
 
 
-def sync_source(listing: DataFrame, manifest: DataFrame, chunks: DataFrame, verify: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """L4: (diff, next manifest, summary) of a source.  A document that became blank is ``index`` with no chunks: its old
-    chunks go with the upsert and its manifest row stays."""
-    diff = sync.manifest_diff(listing, sync.read_manifest(manifest, chunks), verify)
-    return diff, sync.next_manifest(manifest, diff), sync.sync_summary(diff)
+@dataclass(frozen=True)
+class Base:
+    """A knowledge base's tables: documents (key, doc_id, ...), chunks, vectors (chunk_id, embedding, norm) and manifest."""
+
+    docs: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+    manifest: DataFrame
+
+
+def _replaced(base: Base, gone: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, manifest: DataFrame) -> Base:
+    """``base`` without the documents of ``gone`` (keys) and what hangs on them, with the new rows."""
+    left, kept = sync.cascade_delete(base.docs, gone, base.chunks)
+    held = base.vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    return Base(left.unionByName(docs.select(*left.columns)), kept.unionByName(chunks.select(*kept.columns)), held.unionByName(vectors.select(*held.columns)), manifest)
+
+
+def _applied(diff: DataFrame, base: Base, manifest: DataFrame, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> Base:
+    key = sync.key_of(diff)
+    texts = contents(diff.filter("action = 'index'").select(*key))
+    docs = texts.withColumns({"doc_id": document_id(*key), "title": base_title(F.col("rel_path"))})
+    chunks, vectors = index_documents(docs, embed, dim, contextualizer, **cut)
+    gone = diff.filter("action in ('index', 'delete')").select(*key)
+    return _replaced(base, gone, docs.drop("text"), chunks, vectors, sync.next_manifest(manifest, diff))
 
 
-def store_documents(writes: DataFrame, kbs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks without vectors, rejected writes) of agent-written texts; they get no context."""
+def sync_source(listing: DataFrame, base: Base, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, verify: bool = False, **cut) -> tuple[Base, DataFrame]:
+    """L4: (tables after a sync, summary) of a source: changed documents are read by ``contents`` (keys to keys and text),
+    extracted, cut, embedded and put in place of their old rows; those that aren't listed any more go.
+
+    A document that became blank loses its chunks, its manifest row stays.  Nothing is written here: the tables are written
+    as a whole or, after an error in any step, not at all."""
+    manifest = sync.read_manifest(base.manifest, base.chunks)
+    diff = sync.manifest_diff(listing, manifest, verify)
+    return _applied(diff, base, manifest, contents, embed, dim, contextualizer, **cut), sync.sync_summary(diff)
+
+
+def sync_paths(dirty: DataFrame, listing: DataFrame, base: Base, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> tuple[Base, DataFrame]:
+    """As ``sync_source`` for the keys of ``dirty`` alone: (tables, actions)."""
+    diff = sync.sync_paths(dirty, listing, base.manifest)
+    return _applied(diff, base, base.manifest, contents, embed, dim, contextualizer, **cut), diff
+
+
+def rebuild(listing: DataFrame, base: Base, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> tuple[Base, DataFrame]:
+    """A sync from nothing: every listed key is indexed, whatever the tables held."""
+    empty = Base(*(t.limit(0) for t in (base.docs, base.chunks, base.vectors, base.manifest)))
+    return sync_source(listing, empty, contents, embed, dim, contextualizer, **cut)
+
+
+def store_documents(writes: DataFrame, kbs: DataFrame, base: Base, embed, dim: int, **cut) -> tuple[Base, DataFrame]:
+    """(tables with agent-written texts in them, rejected writes); such texts get no context.  The documents of ``base``
+    have a column ``kb``; its manifest isn't touched."""
     ok, rejected = sync.writable_guard(writes, kbs)
-    docs = sync.managed_documents(ok, F.col("kb")).withColumn("doc_id", F.xxhash64("kb", "source_name", "rel_path"))
-    lines = extract.markdown_lines(docs.select("doc_id", F.col("content").alias("text")))
-    blocks = extract.sectionize_blocks(lines)
-    return docs, chunking.chunk_blocks(blocks).withColumn("context", F.lit("")), rejected
+    docs = sync.managed_documents(ok, F.col("kb")).withColumn("doc_id", document_id("kb", "source_name", "rel_path"))
+    texts = docs.select("doc_id", F.concat("rel_path", F.lit(".md")).alias("rel_path"), "title", F.col("content").alias("text"))
+    chunks, vectors = index_documents(texts, embed, dim, **cut)
+    return _replaced(base, docs.select("kb", "source_name", "rel_path"), docs, chunks, vectors, base.manifest), rejected
 
 
 def delete_managed(docs: DataFrame, kbs: DataFrame, ids: DataFrame, *tables: DataFrame) -> list[DataFrame]:
-    """Documents of the reserved source with the paths of ``ids`` (kb, rel_path) go, with their rows in ``tables``; only
-    in knowledge bases that can be written."""
-    allowed = ids.join(kbs.filter("writable").select("kb"), "kb", "left_semi").select(F.lit(sync.MANAGED).alias("source_name"), "rel_path")
+    """Documents of the reserved source with the keys of ``ids`` (kb, rel_path) go, with their rows in ``tables``; only in
+    the knowledge base that is named, and only if it can be written."""
+    allowed = ids.join(kbs.filter("writable").select("kb"), "kb", "left_semi").select("kb", F.lit(sync.MANAGED).alias("source_name"), "rel_path")
     return sync.cascade_delete(docs, allowed, *tables)
 
 
@@ -127,10 +201,5 @@ def parity(golden: DataFrame, new: DataFrame, legacy: DataFrame, n: int = 5) ->
     return evaluate.parity_gate(evaluate.parity_compare(golden, new, legacy, n))
 
 
-def rebuild(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The diff of a sync from nothing: every listed key is indexed, whatever the manifest says."""
-    return sync.manifest_diff(listing, manifest.limit(0))
-
-
 def is_blank(text: Column) -> Column:
     return trim_all(F.coalesce(text, F.lit(""))) == ""

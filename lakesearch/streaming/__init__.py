@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import is_indexable
-from ..operators.sync import sync_paths
+from ..operators.sync import key_of, manifest_diff, sync_paths
 
 EVENTS = "kb string, source_name string, rel_path string, ts timestamp"
 GAP, LATE = "2 seconds", "10 seconds"
@@ -46,24 +46,25 @@ def resync_on_fire(fired: DataFrame, listing: Callable[[], DataFrame], manifest:
     ``apply`` must be idempotent: a batch can come again after a failure."""
 
     def each(batch: DataFrame, _: int) -> None:
-        apply(sync_paths(batch.select("source_name", "rel_path"), listing(), manifest()))
+        now = listing()
+        apply(sync_paths(batch.select(*key_of(now)), now, manifest()))
 
     return fired.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def poll_source(spark: SparkSession, sync: Callable[[], None], every: str = "5 minutes", checkpoint: str | None = None, failed: Callable[[Exception], None] = print) -> StreamingQuery:
-    """Run ``sync`` (a full comparison of listing and manifest) at each tick; an error is handed to ``failed`` and the
-    next tick tries again."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select("value")
+def poll_source(listings: DataFrame, manifest: Callable[[], DataFrame], apply: Callable[[DataFrame], None], checkpoint: str, failed: Callable[[Exception], None] = print, **trigger) -> StreamingQuery:
+    """Each batch of ``listings``, a stream whose batches are whole listings of a source, is compared with the manifest as it
+    is now, and the differences go to ``apply``.
+
+    An error is handed to ``failed``; the next listing finds what this one left undone."""
 
     def each(batch: DataFrame, _: int) -> None:
         try:
-            sync()
+            apply(manifest_diff(batch, manifest()))
         except Exception as error:  # noqa: BLE001  a failed poll must not end the polling
             failed(error)
 
-    writer = ticks.writeStream.foreachBatch(each).trigger(processingTime=every)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    return listings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def initial_then_live(sync: Callable[[], None], start: Callable[[], StreamingQuery]) -> StreamingQuery:

@@ -1,6 +1,8 @@
+import hashlib
 import os
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def stand_in_embedder(dim):
+    """In place of a model: vectors drawn from a generator whose seed is a digest of the text."""
+
+    def embed(texts):
+        seeds = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8]) for t in texts]
+        return np.stack([np.random.default_rng(s).normal(size=dim) for s in seeds]).astype(np.float32)
+
+    return embed

@@ -1,9 +1,11 @@
 """Scalar functions, extraction and chunking on small inputs written by hand."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from conftest import stand_in_embedder
 from pyspark.sql import functions as F
 
 from lakesearch import functions as fn
@@ -173,6 +175,14 @@ def test_chunks_of_large_blocks(spark, limit, overlap):
     assert {x for a, b in want for x in range(a, b + 1)} == set(range(40)) and [r.seq for r in got] == list(range(len(got)))
 
 
+def test_a_very_long_block_is_cut_in_linear_time(spark, tmp_path):
+    lines = [f"line of some words number {i}" for i in range(80_000)]
+    block(spark, "\n".join(lines)).write.parquet(str(tmp_path / "block"))
+    began = time.perf_counter()
+    n = chunking.chunk_blocks(spark.read.parquet(str(tmp_path / "block")), 128, 16).count()
+    assert n == len(chunking.line_bounds([max(1, len(x) // 4) for x in lines], 128, 16)) and time.perf_counter() - began < 20
+
+
 def test_small_blocks_stay_whole(spark):
     got = chunking.chunk_blocks(block(spark, "one\ntwo")).collect()
     assert [(r.text, r.seq, r.token_est, r.end_line) for r in got] == [("one\ntwo", 0, 1, 2)]
@@ -184,7 +194,9 @@ def test_model_stages(spark):
     texts = spark.createDataFrame([(1, "t1", "whole"), (2, "t2", "other")], "doc_id int, title string, text string")
     got = {(r.doc_id, r.seq): r.context for r in chunking.contextualize_chunks(chunks, texts, lambda t, d, c: f"{t}|{d}|{c}").collect()}
     assert got == {(1, 0): "t1|whole|a", (1, 1): "t1|whole|b", (2, 0): ""}
-    embed = chunking.hash_embedder(16)
+    alone = chunking.contextualize_chunks(chunks, texts.limit(0), lambda *_: "never")
+    assert alone.columns == [*chunks.columns, "context"] and {r.context for r in alone.collect()} == {""} and alone.count() == 3
+    embed = stand_in_embedder(16)
     vectors = chunking.embed_texts(chunks, embed, 16, "text").orderBy("doc_id", "seq").collect()
     assert np.allclose([r.embedding for r in vectors], embed(["a", "b", "c"]))
     with pytest.raises(Exception, match="expected"):

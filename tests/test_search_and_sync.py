@@ -5,11 +5,12 @@ import json
 import math
 
 import pytest
+from conftest import stand_in_embedder
 from pyspark.sql import functions as F
 
 from lakesearch import plans
 from lakesearch.operators import chunking, evaluate, keyword, ranking, sync
-from lakesearch.sources import Catalog, golden_queries, list_files, read_content, safe_path
+from lakesearch.sources import golden_queries, list_files, read_content, safe_path
 from lakesearch.streaming import EVENTS, debounce_paths, initial_then_live, managed_write_stream, resync_on_fire, watch_event_counts, watch_source
 
 
@@ -144,27 +145,44 @@ def test_vault_from_files_to_search(spark, tmp_path):
     def listing():
         return with_source().join(read_content(spark, root, with_source()).select("rel_path", "content_sha256"), "rel_path")
 
-    catalog = Catalog(spark, str(tmp_path / "kb"))
-    chunk_schema = "doc_id long, seq int, heading_path string, start_line int, end_line int, text string, token_est int, context string, chunk_id long"
+    state = {"base": None, "n": 0}
 
-    def run():
-        manifest, chunks = catalog.read("manifest", LISTING), catalog.read("chunks", chunk_schema)
-        diff, after, summary = plans.sync_source(listing(), manifest, chunks)
-        texts = read_content(spark, root, diff.filter("action = 'index'")).withColumns({"doc_id": F.xxhash64("rel_path"), "title": F.col("rel_path")})
-        made, vectors = plans.index_documents(texts, chunking.hash_embedder(16), 16)
-        old = chunks.join(diff.filter("action in ('index', 'delete')").select(F.xxhash64("rel_path").alias("doc_id")), "doc_id", "left_anti")
+    def texts(keys):
+        return keys.join(read_content(spark, root, keys).select("rel_path", "text"), "rel_path")
+
+    def stored(base):
+        state["n"] += 1
+        kept = []
+        for name in ("docs", "chunks", "vectors", "manifest"):
+            path = str(tmp_path / f"kb-{state['n']}/{name}")
+            getattr(base, name).write.parquet(path)
+            kept.append(spark.read.parquet(path))
+        state["base"] = plans.Base(*kept)
+
+    def run(embed=stand_in_embedder(16)):
+        base, summary = plans.sync_source(listing(), state["base"], texts, embed, 16) if state["base"] else plans.rebuild(listing(), first, texts, embed, 16)
         counts = tuple(summary.select("indexed", "deleted", "skipped", "failed").first() or ())
-        catalog.write("chunks", old.unionByName(made.select(*old.columns)))
-        catalog.write("manifest", after.select("source_name", "rel_path", "size_bytes", "mtime", "content_sha256"))
+        stored(base)
         return counts
 
+    empty = plans.index_documents(spark.createDataFrame([], "doc_id string, rel_path string, title string, text string"), stand_in_embedder(16), 16)
+    first = plans.Base(spark.createDataFrame([], "source_name string, rel_path string, doc_id string, title string"), *empty, spark.createDataFrame([], LISTING))
     assert run() == (3, 0, 0, 0)
     assert run() == (0, 0, 3, 0)
     (tmp_path / "v/notes/one.md").write_text("# One\n\nabout badgers now\n")
+    before = state["base"]
+    with pytest.raises(Exception, match="no model"):
+        run(lambda t: (_ for _ in ()).throw(RuntimeError("no model")))
+    assert state["base"] is before  # an error leaves the tables as they were
     assert run() == (1, 0, 2, 0)
     (tmp_path / "v/attach/tool.go").unlink()
+    dirty = spark.createDataFrame([("vault", "attach/tool.go"), ("vault", "notes/two.md"), ("vault", "gone.md")], "source_name string, rel_path string")
+    after, actions = plans.sync_paths(dirty, listing(), state["base"], texts, stand_in_embedder(16), 16)
+    assert {r.rel_path: r.action for r in actions.collect()} == {"attach/tool.go": "delete", "notes/two.md": "touch", "gone.md": "ignore"}
+    assert sorted(r.rel_path for r in after.docs.collect()) == ["notes/one.md", "notes/two.md"]
     assert run() == (0, 1, 2, 0)
-    chunks = catalog.read("chunks")
+    chunks = state["base"].chunks
+    assert state["base"].vectors.count() == chunks.count()
     hits = keyword.bm25(spark.createDataFrame([(1, "badgers")], "query_id long, query string"), keyword.postings(chunks), keyword.chunk_lengths(chunks)).join(chunks, "chunk_id").collect()
     assert [(r.heading_path, r.text) for r in hits] == [("One", "# One\n\nabout badgers now")]
     assert not spark.range(1).select(safe_path(F.lit("a/../b"))).first()[0] and spark.range(1).select(safe_path(F.lit("a/..b"))).first()[0]
@@ -180,15 +198,47 @@ def test_managed_documents(spark):
     kbs = spark.createDataFrame([("w", True), ("r", False)], "kb string, writable boolean")
     ts = dt.datetime(2024, 1, 2, 3, 4, 5)
     writes = spark.createDataFrame([("1", "w", ts, "", "# Head\n\nbody", {"agent": "x"}), ("2", "r", ts, "t", "x", None), ("3", "w", ts, "t", " ", None), ("4", "?", ts, "t", "x", None)], "key string, kb string, ts timestamp, title string, content string, metadata map<string,string>")
-    docs, chunks, rejected = plans.store_documents(writes, kbs)
-    d = docs.first()
-    assert docs.count() == 1 and d.rel_path.startswith("memory_20240102_030405_") and d.uri == f"managed://w/{d.rel_path}" and d.size_bytes == 12
-    assert [r.heading_path for r in chunks.collect()] == ["Head"]
+    none = sync.managed_documents(writes.limit(0), F.col("kb")).withColumn("doc_id", F.lit(""))
+    empty = plans.index_documents(spark.createDataFrame([], "doc_id string, rel_path string, title string, text string"), stand_in_embedder(4), 4)
+    base, rejected = plans.store_documents(writes, kbs, plans.Base(none, *empty, none), stand_in_embedder(4), 4)
+    d = base.docs.first()
+    assert base.docs.count() == 1 and d.rel_path.startswith("memory_20240102_030405_") and d.uri == f"managed://w/{d.rel_path}" and d.size_bytes == 12
+    assert [r.heading_path for r in base.chunks.collect()] == ["Head"] and base.vectors.count() == 1
     assert {r.key: r.reason for r in rejected.collect()} == {"2": "not writable", "3": "blank content", "4": "unknown knowledge base"}
-    left, cut = plans.delete_managed(docs, kbs, docs.select("kb", "rel_path"), chunks)
+    again, _ = plans.store_documents(writes.withColumn("content", F.concat("content", F.lit(" more"))), kbs, base, stand_in_embedder(4), 4)
+    assert [r.content for r in again.docs.orderBy("content").collect()][0].endswith("more") and again.chunks.filter("text like '%more'").count() == again.chunks.count()
+    left, cut = plans.delete_managed(base.docs, kbs, base.docs.select("kb", "rel_path"), base.chunks)
     assert left.count() == 0 and cut.count() == 0
 
 
+def test_deletes_stay_in_their_knowledge_base(spark):
+    """Equal paths in a writable and in a frozen knowledge base are two documents."""
+    kbs = spark.createDataFrame([("w", True), ("r", False), ("v", True)], "kb string, writable boolean")
+    docs = spark.createDataFrame([(k, "managed", "m1", f"{k}1") for k in "wrv"], "kb string, source_name string, rel_path string, doc_id string")
+    chunks = docs.select("doc_id", F.lit("x").alias("text"))
+    left, cut = plans.delete_managed(docs, kbs, docs.filter("kb <> 'v'").select("kb", "rel_path"), chunks)
+    assert sorted(r.kb for r in left.collect()) == ["r", "v"] and sorted(r.doc_id for r in cut.collect()) == ["r1", "v1"]
+    new = docs.filter("kb = 'v'").withColumn("doc_id", F.lit("v2"))
+    assert sorted(r.doc_id for r in sync.upsert_documents(docs, new).collect()) == ["r1", "v2", "w1"]
+    with pytest.raises(ValueError, match="kb"):
+        sync.delete_documents(docs, docs.drop("kb"))
+
+
+def test_listed_keys_of_unknown_size_are_there(spark):
+    listing = spark.createDataFrame([("s", "a", None, None, "h"), ("s", "b", None, None, "new")], LISTING)
+    manifest = spark.createDataFrame([("s", "a", None, None, "h"), ("s", "b", 1, 1, "old"), ("s", "c", None, None, None)], LISTING)
+    assert {r.rel_path: r.action for r in sync.manifest_diff(listing, manifest).collect()} == {"a": "touch", "b": "index", "c": "delete"}
+    dirty = spark.createDataFrame([("s", x) for x in "abcd"], "source_name string, rel_path string")
+    assert {r.rel_path: r.action for r in sync.sync_paths(dirty, listing, manifest).collect()} == {"a": "touch", "b": "index", "c": "delete", "d": "ignore"}
+
+
+def test_prefilter_and_stored_index(spark, tmp_path):
+    i = make_index(spark).write(str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "quick", [1.0, 0.0], {"k": "w"}), (2, "quick", [1.0, 0.0], None)], "query_id long, query string, query_vec array<float>, filter map<string,string>")
+    rows = plans.search(asked.filter("query_id = 1").withColumn("filter", F.create_map(F.lit("k"), F.lit("v"))), i, prefilter=True).collect()
+    assert {r.doc_id for r in rows} == {1} and {(r.fts_rank, r.vec_rank) for r in rows} == {(1, 1), (0, 2)}
+
+
 def events(rows):
     return "\n".join(json.dumps({"kb": "k", "source_name": "s", "rel_path": p, "ts": f"2024-01-01T00:00:{t:06.3f}Z"}) for p, t in rows)
 
