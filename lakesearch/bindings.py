@@ -139,9 +139,10 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = first.select("n", "run").distinct().limit(keyword.LISTED + 1).collect()  # bounded
     d = docs(spark, sf_dir)
     held = d.select("doc_id", words(F.col("text")).alias("w"))
-    found = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: run("w", i, n)) for n in sorted({r.n for r in known})))) if known else F.array().cast("array<string>")
-    if len(known) <= keyword.LISTED:
-        found = F.filter(found, lambda r: r.isin([k.run for k in known])) if known else found
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: run("w", i, n))
+    found = F.flatten(F.array(*map(runs, sorted({r.n for r in known})))) if known else F.array().cast("array<string>")
+    if 0 < len(known) <= keyword.LISTED:
+        found = F.filter(found, lambda r: r.isin([k.run for k in known]))
     pairs = held.select("doc_id", F.explode(F.array_distinct(found)).alias("run")).join(first, "run").select("query_id", "query", "doc_id").distinct()
     short = asked.filter("n <= 0").select("query_id", "query")
     matched = pairs.join(d, "doc_id").filter(F.contains("text", "query")).select("query_id", "rel_path")

@@ -736,7 +736,7 @@ def _appended(path):
     return lambda rows: rows.write.mode("append").parquet(path)
 
 
-@query(f"SELECT kb, source_name, rel_path, epoch_ms(ts) AS ts FROM ({_NOTICED}) WHERE rel_path LIKE '%.md'")
+@query(f"SELECT kb, source_name, rel_path, epoch_us(ts) // 1000 AS ts FROM ({_NOTICED}) WHERE rel_path LIKE '%.md'")
 def J01_watch_source(spark, d):
     ext = F.when(F.col("seconds") > 0.02, ".md").otherwise(".png")
     log = _stored(b.log(spark, d).select("kb", "source_name", F.concat("rel_path", ext).alias("rel_path"), F.col("ts").cast("timestamp").alias("ts")), "log")
