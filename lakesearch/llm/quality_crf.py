@@ -20,12 +20,15 @@ from .training import best_cut, logistic, sample, sigmoid
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 600, 20_000
+#: Lines, padding included, whose chains run side by side; lines whose features become an array at once; characters of texts
+#: that are scored together.
+CELLS, PIECE, TOGETHER = 1 << 17, 1 << 13, 1 << 20
 _OWN = 15
 
 
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(features, lengths) of the lines that hold a word; neighbours' features come after a line's own."""
-    rows, lengths, seen = [], [], set()
+    rows, lengths, seen, pieces = [], [], set(), []
     for line in (text or "").split("\n"):
         words = line.split()
         n = len(words)
@@ -52,9 +55,12 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ))
         seen.add(line)
         lengths.append(chars)
-    if not rows:
+        if len(rows) == PIECE:
+            pieces.append(np.array(rows, np.float32))
+            rows = []
+    if not lengths:
         return np.zeros((0, 3 * _OWN)), np.zeros(0)
-    own = np.clip(np.array(rows), 0, 3)
+    own = np.clip(np.vstack([*pieces, np.array(rows, np.float32).reshape(-1, _OWN)]), 0, 3)
     none = np.zeros((1, _OWN))
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])]), np.array(lengths, float)
 
@@ -67,10 +73,11 @@ def _marginals(scores: list[np.ndarray], transition: np.ndarray) -> tuple[list[n
     out: list[np.ndarray] = [np.zeros(0)] * len(scores)
     pairs, total = np.zeros((2, 2)), 0.0
     m = np.exp(transition)
-    for at in range(0, len(order), 512):
-        rows, size = order[at : at + 512], lengths[at : at + 512]
-        if not size[0]:
-            break
+    at = 0
+    while at < len(order) and lengths[at]:
+        n = max(1, min(512, CELLS // int(lengths[at])))
+        rows, size = order[at : at + n], lengths[at : at + n]
+        at += n
         good = np.zeros((size[0], len(rows)))
         for k, i in enumerate(rows):
             good[: size[k], k] = scores[i]
@@ -169,13 +176,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     return fit(rows["text"].tolist(), rows["y"].to_numpy(), threshold)
 
 
+def _runs(sizes: list[float]) -> list[tuple[int, int]]:
+    """Bounds of runs of at most 256 texts and ``TOGETHER`` characters, or of one text."""
+    out, at, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (total + n > TOGETHER or i - at == 256):
+            out.append((at, i))
+            at, total = i, 0
+        total += n
+    return [*out, (at, len(sizes))] if sizes else []
+
+
 def with_quality(docs: DataFrame, model: LineModel, text: str = "text", name: str = "quality_score") -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text in column ``name``, an existing one replaced; null and empty
-    texts have the lowest quality.  Texts are handled a few at a time, whatever the batch."""
+    texts have the lowest quality.  Texts are handled a few at a time, whatever the batch, and a long one alone: memory follows
+    the longest text, about 1 kB a line."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        out = [model.score(texts.iloc[i : i + 256]) for i in range(0, len(texts), 256)]
+        out = [model.score(texts.iloc[i:j]) for i, j in _runs(texts.str.len().fillna(0).tolist())]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(name, of(text))
