@@ -6,7 +6,8 @@ both at every place; a hit gives an alignment (document place minus item place),
 document word by word.  The values that stand in the placeholders are compared, too: a question with other numbers, names
 or units still matches if every value of the item goes to one value of the document throughout.
 
-Items of at most ``window`` words are looked for with all their words but one.
+Items of at most ``window`` words are looked for with all their words but one.  Windows of placeholders alone aren't looked
+for: every table of numbers has them.
 """
 
 from __future__ import annotations
@@ -70,7 +71,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     # a short item's first or last word may be left out: after other words the first one can look like a name
     width = F.when(F.col("n") <= window, F.greatest(F.col("n") - 1, F.least("n", F.lit(3)))).otherwise(window)
     short = [r.w for r in items.filter(F.col("n") <= window).select(width.alias("w")).distinct().orderBy("w").collect()]  # at most ``window`` numbers
-    asked = items.withColumn("width", width).select("item_id", "n", F.col("words").alias("item_words"), F.explode(_hashes(F.col("width"))).alias("x"))
+    asked = items.withColumn("width", width).select("item_id", "n", "blank", F.col("words").alias("item_words"), F.explode(_hashes(F.col("width"))).alias("x"))
+    # a window of placeholders alone would meet every table of numbers
+    asked = asked.filter(F.exists(F.slice("blank", F.col("x.place"), F.col("x.width")), lambda w: ~_is_slot(w)))
     asked = asked.select("item_id", "n", "item_words", F.col("x.hash").alias("hash"), F.col("x.width").alias("width"), F.col("x.place").alias("item_place"))
     listed = [r.hash for r in asked.select("hash").distinct().limit(LISTED + 1).collect()]  # bounded
     if len(listed) <= LISTED or asked.count() <= SMALL:
