@@ -136,9 +136,12 @@ def drop_repeats(docs: DataFrame, window: int = 13, text: str = "text", doc_id:
     runs of words stand as they were, joined by one line feed.
 
     Null text: null, no words.  Texts shorter than the window and empty tables: nothing is removed.  Rows with equal ids
-    count as one document: none of them gives the others a reason to lose words.  Null ids rank behind all others.
+    count as one document: none of them gives the others a reason to lose words.  Null ids rank behind all others.  Ids are
+    whole numbers; others are an error.
     Columns of ``docs`` that have the names of added columns are replaced.
     """
+    if docs.schema[doc_id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{doc_id} is not a whole number")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "n_removed", spans.lower()}])
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, buckets = size // BLOCK + 1, size // BUCKET + 1
