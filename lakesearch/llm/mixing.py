@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import fresh, written
+from .store import written
 
 #: Weights of the sources in code-point order, repeating; most copies of a document; slices of a source's ranks.
 WEIGHTS, MOST, SLICES = (5, 2, 1), 3, 4096
 #: Sources for which a table of targets may be broadcast (a few MB); beyond it Spark chooses the join.
 SMALL = 20_000
+_ADDED = {"size", "source_size", "target", "taken"}
 
 
 def words_in(text: Column) -> Column:
@@ -58,6 +59,12 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return left.withColumn("target", target).withColumn("ratio", F.least(ratio, F.lit(float(most)))).select("source", "source_size", "target", F.floor("ratio").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("part"))
 
 
+def _order_of(docs: DataFrame, doc_id: str) -> Column:
+    """Ids in their own order, nulls first: whole numbers as longs, others as strings."""
+    whole = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number strictly between 0 and 1 from 48 bits of an MD5 of seed and id (null: the seed alone)."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
@@ -68,14 +75,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """``docs`` with ``size`` (words), ``source_size``, ``target`` (of the source) and ``taken`` (words the mix takes, copies
     counted) added, existing columns of these names replaced; ``taken / size`` is how often the document appears.
 
-    Null texts have size 0 and are never taken; null sources form one source, the last.  Null ids count as one id, below
-    all others; rows with one id share their fate, so a source may overshoot by their size.  An empty table gives an empty
-    result."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"size", "source_size", "target", "taken"}])
-    sized = docs.withColumn("size", words_in(F.col(text)))
-    least_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    Null texts have size 0 and are never taken; null sources form one source, the last.  Ids of any type that casts to a
+    string will do; null ids count as one id, below all others; rows with one id share their fate, so a source may overshoot by
+    their size.  Other columns keep their values, whatever their names.  An empty table gives an empty result."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in _ADDED])
+    # whatever the columns are called, inside there are only these: the row itself, its source, id and size
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), _order_of(docs, doc_id).alias("id"), uniform(F.col(doc_id), seed).alias("u"), words_in(F.col(text)).alias("size"))
     # the narrow columns are needed several times, the text once more
-    narrow = written(sized.select(least_id.alias("id"), F.col(source).alias("source"), "size", uniform(F.col(doc_id), seed).alias("u")), "sizes")
+    narrow = written(own.drop("row"), "sizes")
     goals = written(targets(narrow, weights, most), "targets")
     small = goals.count() <= SMALL
     by_source = lambda t: F.broadcast(t) if small else t
@@ -99,16 +106,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     extra = ranked.join(by_source(cuts), F.col("s").eqNullSafe(ranked.source) & behind & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "id")).alias("e"))
     extra = extra.select(F.col("source").alias("x"), F.struct("e.q", "e.id").alias("extra"))
     plan = goals.join(cuts, F.col("s").eqNullSafe(goals.source), "left").join(extra, F.col("x").eqNullSafe(goals.source), "left")
-    plan = plan.select(F.col("source").alias(key := fresh(sized, "mix_source")), "source_size", "target", "copies", "part", "cut", "cut_slice", "extra")
-    plan = written(plan, "mix")
+    plan = written(plan.select(F.col("source").alias("of"), "source_size", "target", "copies", "part", "cut", "cut_slice", "extra"), "mix")
 
-    u = uniform(F.col(doc_id), seed)
-    q = F.when((F.col("part") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("part") / (1 - F.col("part"))))
+    q = F.when((F.col("part") > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part"))))
     lower = F.floor(q / (1 + q) * SLICES) < F.col("cut_slice")
-    own = F.struct(q.alias("q"), least_id.alias("id"))
-    taken = q.isNotNull() & (lower | F.coalesce(own <= F.col("cut"), F.lit(False)) | F.coalesce(own == F.col("extra"), F.lit(False)))
-    out = sized.join(by_source(plan), F.col(source).eqNullSafe(F.col(key)))
-    return out.select(*docs.columns, "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.coalesce(taken, F.lit(False)).cast("long"))).alias("taken"))
+    place = F.struct(q.alias("q"), "id")
+    taken = q.isNotNull() & (lower | F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(place == F.col("extra"), F.lit(False)))
+    out = own.join(by_source(plan), F.col("source").eqNullSafe(F.col("of")))
+    return out.select("row.*", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.coalesce(taken, F.lit(False)).cast("long"))).alias("taken"))
 
 
 SQL = """
