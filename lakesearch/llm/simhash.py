@@ -23,6 +23,8 @@ from .store import fresh, written
 
 #: Fingerprints in a block of the index; children of a node; pairs of nodes handled at once.
 BLOCK, FANOUT, FRONTIER = 1 << 18, 2, 1 << 18
+#: Blocks up to which the table of their roots may be broadcast (about 30 bytes each); beyond it Spark chooses the join.
+ROOTS = 1_000_000
 _CHILD = np.arange(FANOUT, dtype=np.int32)
 _LEADING = np.uint64(0xFFFFFFFF00000000)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -167,35 +169,49 @@ def links(a: np.ndarray, b: np.ndarray | None, bits: int) -> tuple[np.ndarray, n
 
 
 def _pack(t: pa.Table) -> pa.Table:
+    """One row for a block: its fingerprints in Gray order, and its root, the bits that all of them share."""
     fps = t.column("fp").to_numpy().astype(np.int64).view(np.uint64)
     rank = fps.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    return pa.table({"block": t.column("block")[:1], "fps": pa.array([fps[np.argsort(rank)].tobytes()], pa.binary())})
+    every, some = np.bitwise_and.reduce(fps), np.bitwise_or.reduce(fps)
+    root = np.array([~(every ^ some), every], np.uint64).view(np.int64)
+    return pa.table({"block": t.column("block")[:1], "fps": pa.array([fps[np.argsort(rank)].tobytes()], pa.binary()), "mask": root[:1], "pattern": root[1:]})
+
+
+def block_pairs(roots: DataFrame, bits: int) -> DataFrame:
+    """(low, high) of the pairs of blocks, a block with itself among them, whose roots (block, mask, pattern; one small row for
+    each block) don't rule out a link."""
+    other = roots.select(F.col("block").alias("high"), F.col("mask").alias("m"), F.col("pattern").alias("p"))
+    other = F.broadcast(other) if other.count() <= ROOTS else other
+    apart = F.col("pattern").bitwiseXOR(F.col("p")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("m"))
+    near = (F.bit_count(apart) <= bits) & (F.bit_count(F.shiftrightunsigned(apart, 32)) <= bits // 2)
+    return roots.join(other, (F.col("block") <= F.col("high")) & near).select(F.col("block").alias("low"), "high")
 
 
 def linked(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between distinct fingerprints, column ``fp``, whose components are those under all links at ``bits`` or
-    fewer differences."""
+    fewer differences.
+
+    The roots of the blocks are compared first; fingerprints are sent only along the pairs of blocks that are left, which for
+    spread-out fingerprints are those whose common leading bits differ in ``bits // 2`` places at most."""
     n = fps.count()
     k = max(1, -(-n // block), 4 * (n >= 1 << 14))
 
     def join(t: pa.Table) -> pa.Table:
         sides = [np.frombuffer(x, np.uint64) for x in t.sort_by("block").column("fps").to_pylist()]
-        if len(sides) == 1 and t.column("low")[0].as_py() != t.column("high")[0].as_py():
-            u = v = np.zeros(0, np.uint64)
-        else:
-            u, v = links(sides[0], sides[1] if len(sides) > 1 else None, bits)
+        u, v = links(sides[0], sides[1] if len(sides) > 1 else None, bits)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     def turned(fp: Column) -> Column:
         return F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32))
 
     def by_half(fps: DataFrame) -> DataFrame:
-        ranked = written(fps.withColumn("rank", _gray_rank(F.col("fp"))).repartitionByRange(k, "rank").select("fp", F.spark_partition_id().alias("block")), "gray-order")
-        packed = ranked.groupBy("block").applyInArrow(_pack, "block int, fps binary")
-        pairs = packed.select("block", "fps", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("other"))
-        return pairs.select("block", "fps", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).groupBy("low", "high").applyInArrow(join, "u long, v long")
+        ranked = fps.withColumn("rank", _gray_rank(F.col("fp"))).repartitionByRange(k, "rank").select("fp", F.spark_partition_id().alias("block"))
+        packed = written(written(ranked, "gray-order").groupBy("block").applyInArrow(_pack, "block int, fps binary, mask long, pattern long"), "blocks")
+        pairs = written(block_pairs(packed.select("block", "mask", "pattern"), bits), "block-pairs")
+        ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+        return ends.join(packed.select("block", "fps"), "block").groupBy("low", "high").applyInArrow(join, "u long, v long")
 
     lower = by_half(fps.select(turned(F.col("fp")).alias("fp")))
     return by_half(fps.select("fp")).union(lower.select(turned(F.col("u")), turned(F.col("v"))))

@@ -130,6 +130,30 @@ def test_links_match_brute_force(spark, block):
     assert unions(len(fps), got) == want
 
 
+def test_few_pairs_of_blocks_survive(spark):
+    """A thousand blocks of spread-out fingerprints: their roots rule out most pairs, and no link is lost."""
+    rng = np.random.default_rng(7)
+    fps = np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    near = fps[::50] ^ (np.uint64(1) << rng.integers(0, 64, len(fps[::50])).astype(np.uint64)) ^ np.uint64(1 << 40)
+    fps = np.unique(np.concatenate([fps, near]))
+    rank = fps.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    blocks = np.array_split(fps[np.argsort(rank)], 1024)
+    roots = [(i, *(int(x) for x in np.array([~(np.bitwise_and.reduce(b) ^ np.bitwise_or.reduce(b)), np.bitwise_and.reduce(b)], np.uint64).view(np.int64))) for i, b in enumerate(blocks)]
+    kept = {tuple(r) for r in simhash.block_pairs(spark.createDataFrame(roots, "block int, mask long, pattern long"), 4).collect()}
+    assert len(kept) < 0.2 * 1024 * 1025 / 2 and all((i, i) in kept for i in range(1024))
+    of = {int(f): i for i, b in enumerate(blocks) for f in b}
+    pairs = [(int(a), int(b)) for a in near for b in fps if a != b and (int(a) ^ int(b)).bit_count() <= 4 and ((int(a) ^ int(b)) >> 32).bit_count() <= 2]
+    assert pairs and all(tuple(sorted((of[a], of[b]))) in kept for a, b in pairs)
+    # the whole join, against all pairs
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    place = {int(f): i for i, f in enumerate(fps.view(np.int64).tolist())}
+    got = unions(len(fps), [(place[r.u], place[r.v]) for r in simhash.linked(df, 4, 700).collect()])
+    want = unions(len(fps), [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)).tolist() if j != i])
+    assert got == want
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 2000) for i in range(50)] + [(5, 5)]
     random.Random(0).shuffle(edges)
