@@ -57,8 +57,18 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", "phrase_no", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("token_no", "term"))
 
 
-def _checked(phrases: DataFrame) -> DataFrame:
-    return F.broadcast(phrases) if phrases.count() <= SMALL else phrases
+def _small(phrases: DataFrame) -> bool:
+    """May tables with a row for each query token or less be broadcast?"""
+    return phrases.count() <= SMALL
+
+
+def _sent(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
+def _asked(phrases: DataFrame) -> DataFrame:
+    """(query_id, phrase_no, phrase): each query's phrases as arrays of terms."""
+    return phrases.groupBy("query_id", "phrase_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_no", "term"))), lambda x: x.term).alias("phrase"))
 
 
 def _asked_terms(phrases: DataFrame, index: DataFrame) -> DataFrame:
@@ -67,17 +77,18 @@ def _asked_terms(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return index.filter(F.col("term").isin(terms)) if 0 < len(terms) <= LISTED else index
 
 
-def match_phrases(phrases: DataFrame, index: DataFrame) -> DataFrame:
+def match_phrases(phrases: DataFrame, index: DataFrame, small: bool | None = None) -> DataFrame:
     """(phrase, chunk_id, freq) for each distinct phrase (array of terms) and each chunk that holds it.
 
     Distinct phrases are matched once, however many queries ask for them.  A phrase of one token is a row of the index; a
     longer one is found where its tokens stand at consecutive places."""
-    texts = phrases.groupBy("query_id", "phrase_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_no", "term"))), lambda x: x.term).alias("phrase")).select("phrase").distinct()
+    small = _small(phrases) if small is None else small
+    texts = _asked(phrases).select("phrase").distinct()
     tokens = texts.select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("token_no", "term"))
     index = _asked_terms(phrases, index)
-    single = index.join(_checked(tokens.filter("n = 1")), "term").select("phrase", "chunk_id", "freq")
+    single = index.join(_sent(tokens.filter("n = 1"), small), "term").select("phrase", "chunk_id", "freq")
     starts = F.transform("places", lambda p: p - F.col("token_no"))
-    held = index.join(_checked(tokens.filter("n > 1")), "term").groupBy("phrase", "n", "chunk_id").agg(F.sort_array(F.flatten(F.collect_list(starts))).alias("starts"))
+    held = index.join(_sent(tokens.filter("n > 1"), small), "term").groupBy("phrase", "n", "chunk_id").agg(F.sort_array(F.flatten(F.collect_list(starts))).alias("starts"))
     # a start that all n tokens agree on stands n times in the sorted array
     whole = F.filter(F.col("starts"), lambda p, i: F.coalesce(F.get("starts", i + F.col("n") - 1) == p, F.lit(False)))
     return single.union(held.select("phrase", "chunk_id", F.size(whole).cast("long").alias("freq")).filter("freq > 0"))
@@ -85,8 +96,8 @@ def match_phrases(phrases: DataFrame, index: DataFrame) -> DataFrame:
 
 def phrase_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, phrase_no, phrase, chunk_id, freq): the matches of each query's phrases, repeats kept."""
-    asked = phrases.groupBy("query_id", "phrase_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_no", "term"))), lambda x: x.term).alias("phrase"))
-    return match_phrases(phrases, index).join(_checked(asked), "phrase").select("query_id", "phrase_no", "phrase", "chunk_id", "freq")
+    small = _small(phrases)
+    return match_phrases(phrases, index, small).join(_sent(_asked(phrases), small), "phrase").select("query_id", "phrase_no", "phrase", "chunk_id", "freq")
 
 
 def document_frequency(matches: DataFrame) -> DataFrame:
@@ -99,13 +110,12 @@ def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
 
     A phrase's weight in a chunk is worked out once and multiplied by how often a query has the phrase."""
     phrases = query_phrases(queries)
-    asked = phrases.groupBy("query_id", "phrase_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_no", "term"))), lambda x: x.term).alias("phrase"))
-    asked = asked.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
-    matches = match_phrases(phrases, index)
+    small = _small(phrases)
+    asked = _asked(phrases).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+    matches = match_phrases(phrases, index, small)
     stats = corpus_stats(lengths)  # one row
-    df = document_frequency(matches)
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = F.broadcast(df.join(F.broadcast(stats)).select("phrase", idf.alias("idf"), "avgdl")) if asked.count() <= SMALL else df.join(F.broadcast(stats)).select("phrase", idf.alias("idf"), "avgdl")
+    known = document_frequency(matches).join(F.broadcast(stats)).select("phrase", idf.alias("idf"), "avgdl")
     weight = F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl")))
-    weighed = matches.join(known, "phrase").join(lengths, "chunk_id").select("phrase", "chunk_id", weight.alias("weight"))
-    return weighed.join(_checked(asked), "phrase").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("bm25"))
+    weighed = matches.join(_sent(known, small), "phrase").join(lengths, "chunk_id").select("phrase", "chunk_id", weight.alias("weight"))
+    return weighed.join(_sent(asked, small), "phrase").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("bm25"))

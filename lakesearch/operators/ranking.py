@@ -65,7 +65,7 @@ def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, bloc
 
 
 def _nearest(queries: pd.DataFrame, id_type: str, vectors: DataFrame, k: int) -> DataFrame:
-    q = np.array(queries["query_vec"].tolist(), np.float64).reshape(len(queries), -1)
+    q = np.stack(queries["query_vec"].tolist()).astype(np.float64) if len(queries) else np.zeros((0, 1))
     size = np.sqrt((q * q).sum(axis=1))
     ids, q = queries["query_id"].to_numpy()[size > 0], q[size > 0] / size[size > 0, None]
     filters = queries["filter_no"].to_numpy()[size > 0] if "filter_no" in queries else None
