@@ -270,6 +270,14 @@ SQL = {
     "rrf": "SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + fts_rank), 0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0::DOUBLE) AS rrf, coalesce(fts_rank, 0) AS fts_rank, coalesce(vec_rank, 0) AS vec_rank FROM kw FULL JOIN vk USING (query_id, chunk_id)",
     "fr": "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, chunk_id) AS INTEGER) AS rank FROM rrf",
     "hyd": "SELECT f.*, d.doc_id, d.source_name, d.rel_path, d.text, l.quality, l.toxic FROM fr f JOIN docs d ON d.doc_id = f.chunk_id LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "kst": "SELECT chunk_id % 2 AS kb, count(*) AS n_chunks, avg(n_tokens) AS avgdl FROM lens GROUP BY 1",
+    "kdf": "SELECT phrase, chunk_id % 2 AS kb, count(*) AS df FROM mat GROUP BY phrase, chunk_id % 2",
+    "kbm": """SELECT p.query_id, m.chunk_id % 2 AS kb, m.chunk_id, sum(greatest(1e-6, ln((n_chunks - df + 0.5) / (df + 0.5))) * freq * 2.2::DOUBLE / (freq + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_tokens / avgdl))) AS bm25
+      FROM phr p JOIN mat m USING (phrase) JOIN kdf f ON f.phrase = m.phrase AND f.kb = m.chunk_id % 2 JOIN lens USING (chunk_id) JOIN kst s ON s.kb = m.chunk_id % 2 GROUP BY p.query_id, m.chunk_id""",
+    "kkw": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, kb ORDER BY round(bm25, 9) DESC, chunk_id) AS INTEGER) AS fts_rank FROM kbm) WHERE fts_rank <= 50",
+    "kvk": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, chunk_id % 2 ORDER BY round(cosine, 9) DESC, chunk_id) AS INTEGER) AS vec_rank FROM cosines WHERE chunk_id IN (SELECT doc_id FROM documents)) WHERE vec_rank <= 50",
+    "krrf": "SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + fts_rank), 0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0::DOUBLE) AS rrf FROM kkw FULL JOIN kvk USING (query_id, chunk_id)",
+    "kfr": "SELECT query_id, chunk_id, 'kb' || (chunk_id % 2) AS kb, rrf, row_number() OVER (PARTITION BY query_id, chunk_id % 2 ORDER BY round(rrf, 9) DESC, chunk_id) AS rank FROM krrf",
     "gold": "SELECT b.item_id AS query_id, b.text AS query, coalesce(list_sort(list(DISTINCT d.rel_path) FILTER (d.rel_path IS NOT NULL)), []) AS expect FROM benchmark b LEFT JOIN docs d ON contains(d.text, b.text) GROUP BY b.item_id, b.text",
     "logs": "SELECT event_type AS kb, CASE WHEN value > 50 THEN 'search' ELSE 'get' END AS op, value / 1000 AS seconds, 'vault' AS source_name, CAST(user_id AS VARCHAR) AS rel_path, ts FROM events",
     "wr": f"SELECT conv_id || '-' || turn AS key, CASE WHEN conv_id % 3 = 0 THEN 'frozen' ELSE 'notes' END AS kb, TIMESTAMP '1970-01-01 00:00:00' + to_seconds({EPOCH} + conv_id * 60 + turn) AS ts, role AS title, CASE WHEN (conv_id + turn) % 11 = 0 THEN ' \n ' ELSE text END AS content FROM conversations",

@@ -17,6 +17,8 @@ SMALL = 200_000
 #: Distinct query terms up to which they are a filter on the stored postings, which are in order of terms.
 LISTED = 20_000
 COLUMNS = ("text", "heading_path", "context")
+#: Ends the name of a knowledge base before a term; no token has it.
+KB_END = "\x01"
 
 
 def postings(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -46,8 +48,8 @@ def chunk_lengths(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Data
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row with ``n_chunks`` and ``avgdl``."""
-    return lengths.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("avgdl"))
+    """``n_chunks`` and ``avgdl``, one row, or one for each ``kb`` where ``lengths`` has it."""
+    return lengths.groupBy(*(["kb"] if "kb" in lengths.columns else [])).agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("avgdl"))
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -108,14 +110,25 @@ def document_frequency(matches: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
     """(query_id, chunk_id, bm25), higher is better; phrases of a query count as often as they stand in it.
 
-    A phrase's weight in a chunk is worked out once and multiplied by how often a query has the phrase."""
+    A phrase's weight in a chunk is worked out once and multiplied by how often a query has the phrase.  Where ``queries``,
+    ``index`` and ``lengths`` have a column ``kb``, a query sees the chunks of its knowledge base alone, and numbers of chunks
+    and their mean length are those of the knowledge base."""
     phrases = query_phrases(queries)
+    if "kb" in queries.columns:
+        in_kb = F.concat("kb", F.lit(KB_END), "term")
+        phrases = phrases.join(queries.select("query_id", "kb"), "query_id").withColumn("term", in_kb).drop("kb")
+        index = index.withColumn("term", in_kb)
     small = _small(phrases)
     asked = _asked(phrases).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
     matches = match_phrases(phrases, index, small)
-    stats = corpus_stats(lengths)  # one row
+    stats = corpus_stats(lengths)  # one row, or one for each knowledge base
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = document_frequency(matches).join(F.broadcast(stats)).select("phrase", idf.alias("idf"), "avgdl")
+    found = document_frequency(matches)
+    if "kb" in queries.columns:
+        found = found.withColumn("kb", F.substring_index(F.get("phrase", F.lit(0)), KB_END, 1)).join(stats, "kb")
+    else:
+        found = found.join(F.broadcast(stats))
+    known = found.select("phrase", idf.alias("idf"), "avgdl")
     weight = F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl")))
-    weighed = matches.join(_sent(known, small), "phrase").join(lengths, "chunk_id").select("phrase", "chunk_id", weight.alias("weight"))
+    weighed = matches.join(_sent(known, small), "phrase").join(lengths.select("chunk_id", "n_tokens"), "chunk_id").select("phrase", "chunk_id", weight.alias("weight"))
     return weighed.join(_sent(asked, small), "phrase").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("bm25"))

@@ -55,7 +55,12 @@ FILTERS = 64
 
 
 def candidates(queries: DataFrame, index: Index, prefilter: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The two legs of a search, ranked, 50 for each query; with ``prefilter`` 50 that pass the query's metadata filter."""
+    """The two legs of a search, ranked, 50 for each query; with ``prefilter`` 50 that pass the query's metadata filter.  Queries
+    with a column ``kb`` see that knowledge base alone."""
+    if "kb" in queries.columns:
+        if prefilter:
+            raise ValueError("prefilter works within one knowledge base")
+        return _candidates_by_kb(queries, index)
     scores = keyword.bm25(queries, index.postings, index.lengths)
     if not prefilter:
         return ranking.ranked(scores, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(queries, index.vectors)
@@ -91,13 +96,32 @@ def search(queries: DataFrame, index: Index, scorer: Callable[[list[str], list[s
     return ranking.above_min_score(ranking.limited(ranking.cap_per_document(hits))).drop("filter", "min_score", "rerank", "max_per_doc")
 
 
-def search_all(queries: DataFrame, indexes: dict[str, Index], scorer=None) -> DataFrame:
-    """L2: ``search`` in every knowledge base, merged by relevance."""
-    parts = [search(queries, index, scorer).withColumn("kb", F.lit(kb)) for kb, index in sorted(indexes.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranking.merge_by_relevance(out)
+def _candidates_by_kb(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    of_chunk = index.chunks.select("chunk_id", "doc_id").join(index.docs.select("doc_id", "kb"), "doc_id").select("chunk_id", "kb")
+    words = keyword.bm25(queries, index.postings.join(of_chunk, "chunk_id"), index.lengths.join(of_chunk, "chunk_id"))
+    names = _names(index)
+    places = F.array(*map(F.lit, names))
+    numbered = queries.withColumn("filter_no", (F.array_position(places, F.col("kb")) - 1).cast("int"))
+    passes = F.transform(places, lambda name: name == F.col("kb"))
+    return ranking.ranked(words, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(numbered, index.vectors.join(of_chunk.select("chunk_id", passes.alias("passes")), "chunk_id"))
+
+
+def _names(index: Index) -> list[str]:
+    names = [r.kb for r in index.docs.select("kb").distinct().orderBy("kb").limit(FILTERS + 1).collect()]  # bounded
+    if len(names) > FILTERS:
+        raise ValueError(f"more than {FILTERS} knowledge bases in one search")
+    return names
+
+
+def search_all(queries: DataFrame, index: Index, scorer=None) -> DataFrame:
+    """L2: ``search`` in every knowledge base (column ``kb`` of the documents) at once, merged by relevance: each query is asked
+    once for each of them, in one plan."""
+    names = _names(index)
+    asked = queries.withColumn("kb", F.explode(F.array(*map(F.lit, names)))).withColumn("asked_id", F.concat("kb", F.lit(keyword.KB_END), F.col("query_id").cast("string")))
+    of = asked.select(F.col("asked_id"), F.col("query_id").alias("own_id"))
+    hits = search(asked.drop("query_id").withColumnRenamed("asked_id", "query_id"), index, scorer)
+    back = hits.withColumnRenamed("query_id", "asked_id").join(of, "asked_id").drop("asked_id").withColumnRenamed("own_id", "query_id")
+    return ranking.merge_by_relevance(back)
 
 
 def extract_blocks(docs: DataFrame) -> DataFrame:

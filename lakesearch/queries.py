@@ -610,11 +610,6 @@ def G06_misses(spark, d):
 # set operations
 
 
-@query("SELECT kb, query_id, chunk_id FROM (SELECT 'keyword' AS kb, query_id, chunk_id FROM kw UNION ALL SELECT 'vector', query_id, chunk_id FROM vk)")
-def H01_union_kbs(spark, d):
-    return _keyword(spark, d).select(F.lit("keyword").alias("kb"), "query_id", "chunk_id").unionByName(_vector(spark, d).select(F.lit("vector").alias("kb"), "query_id", "chunk_id"))
-
-
 @query(f"SELECT doc_id, count(*) AS n FROM (SELECT {_BLOCK_COLUMNS} FROM md_blocks UNION ALL SELECT {_BLOCK_COLUMNS} FROM wf_blocks) GROUP BY doc_id")
 def H02_union_blocks(spark, d):
     return extract.markdown_blocks(b.markdown(spark, d)).unionByName(extract.whole_file_block(b.docs(spark, d))).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -832,11 +827,22 @@ def L03_search_reranked(spark, d):
     return plans.search(asked, b.index(spark, d), _scores()).select("query_id", "doc_id", "rank", F.round("relevance", 6).alias("relevance"))
 
 
-@query("""SELECT query_id, kb, doc_id, merged_rank::INTEGER AS merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(least(1, rrf / (2.0::DOUBLE / 61)), 9) DESC, kb, rank) AS merged_rank FROM (
-  SELECT kb, query_id, doc_id, rrf, row_number() OVER (PARTITION BY kb, query_id ORDER BY rank) AS rank FROM (SELECT 'one' AS kb, * FROM hyd WHERE rank <= 32 UNION ALL SELECT 'two', * FROM hyd WHERE rank <= 32)) WHERE rank <= 8) WHERE merged_rank <= 8""")
-def L02_search_all(spark, d):
+def _two_kbs(spark, d):
     i = b.index(spark, d)
-    return plans.search_all(b.queries(spark, d), {"one": i, "two": i}).select("query_id", "kb", "doc_id", "merged_rank")
+    return plans.Index(i.docs.withColumn("kb", F.concat(F.lit("kb"), F.col("doc_id") % 2)), i.chunks, i.vectors, i.postings, i.lengths)
+
+
+_ALL = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(least(1, rrf / (2.0::DOUBLE / 61)), 9) DESC, kb, rank) AS merged_rank FROM kfr WHERE rank <= 8"
+
+
+@query(f"SELECT query_id, kb, chunk_id AS doc_id, merged_rank::INTEGER AS merged_rank FROM ({_ALL}) WHERE merged_rank <= 8")
+def L02_search_all(spark, d):
+    return plans.search_all(b.queries(spark, d), _two_kbs(spark, d)).select("query_id", "kb", "doc_id", "merged_rank")
+
+
+@query(f"SELECT query_id, kb, count(*) AS n FROM ({_ALL}) WHERE merged_rank <= 8 GROUP BY query_id, kb")
+def H01_union_kbs(spark, d):
+    return plans.search_all(b.queries(spark, d), _two_kbs(spark, d)).groupBy("query_id", "kb").agg(F.count("*").alias("n"))
 
 
 _SHOWN = "t.source_name, t.rel_path, c.seq, c.start_line, c.end_line, c.text, CAST(length(c.text) AS DOUBLE) AS size"
