@@ -1,13 +1,12 @@
 """The pipeline and the registered queries on the smallest tables, against plain Python."""
 
-import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_dedup import brute_force, slow_fingerprint, unions  # noqa: E402
+from test_dedup import brute_force, unions  # noqa: E402
 
-from lakesearch.llm import mixing, queries, toxicity  # noqa: E402
+from lakesearch.llm import mixing, near_copies, queries, toxicity  # noqa: E402
 from lakesearch.llm.store import written  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -27,10 +26,10 @@ def test_stages_against_brute_force(spark):
     ids = sorted(rows[0])
     scores = dict(zip(ids, model.score([rows[0][i].text for i in ids])))
     assert set(rows[1]) == {i for i in ids if scores[i] < 0.5}
-    # near copies
+    # near copies: all pairs of five-word shingle sets
     ids = sorted(rows[1])
-    fps = np.array([slow_fingerprint(rows[1][i].text) for i in ids], np.uint64)
-    root = unions(len(ids), np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4).tolist())
+    sets = [near_copies.shingles(rows[1][i].text.encode()) for i in ids]
+    root = unions(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if near_copies.jaccard(sets[i], sets[j]) >= 0.8])
     assert set(rows[2]) == {ids[r] for r in root}
     # repeated passages
     want = {i: kept for i, _, _, kept in brute_force([(i, rows[2][i].text) for i in rows[2]])}
