@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, licences, mixing, quality_crf, quality_rules, simhash, substring_dedup, toxicity
+from . import chat, decontaminate, html_text, licences, mixing, quality_crf, quality_rules, simhash, structure_repair, substring_dedup, toxicity
 from .store import written
 
 
@@ -82,13 +82,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` with faults by a hash of (conv_id, turn): dropped (``gone``), emptied, without ends of sentences, repeated, or
+    with the role user; nulls are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", text("conv_id"), text("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind"))
+    left = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(False), F.lit(False))).otherwise(F.array(F.col("kind") == 0))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), left.alias("text"), F.explode(copies).alias("gone"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.digests(structure_repair.repair(damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
-    ops = (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_licence_scan, op5_simhash, op6_decontamination, op7_quality_classifier, op8_html_extraction, op9_chat_formatting, op10_toxicity)
+    ops = (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_licence_scan, op5_simhash, op6_decontamination, op7_quality_classifier, op8_html_extraction, op9_chat_formatting, op10_toxicity, op13_structure_repair)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_licence_scan": licences.SQL, **SQL}
+    return {"op3_mixing": mixing.SQL, "op4_licence_scan": licences.SQL, "op13_structure_repair": structure_repair.SQL, **SQL}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
