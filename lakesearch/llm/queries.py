@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, licences, mixing, quality_crf, quality_rules, simhash, structure_repair, substring_dedup, toxicity
+from . import chat, decontaminate, html_text, licences, mixing, prefix_trie, quality_crf, quality_rules, simhash, structure_repair, substring_dedup, toxicity
 from .store import written
 
 
@@ -82,6 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """``turns`` with faults by a hash of (conv_id, turn): dropped (``gone``), emptied, without ends of sentences, repeated, or
     with the role user; nulls are one space."""
@@ -98,12 +102,12 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_licence_scan, op5_simhash, op6_decontamination, op7_quality_classifier, op8_html_extraction, op9_chat_formatting, op10_toxicity, op13_structure_repair)
+    ops = (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_licence_scan, op5_simhash, op6_decontamination, op7_quality_classifier, op8_html_extraction, op9_chat_formatting, op10_toxicity, op11_prefix_trie, op13_structure_repair)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_licence_scan": licences.SQL, "op13_structure_repair": structure_repair.SQL, **SQL}
+    return {"op3_mixing": mixing.SQL, "op4_licence_scan": licences.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_structure_repair": structure_repair.SQL, **SQL}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
