@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, licences, mixing, prefix_trie, quality_crf, quality_rules, simhash, structure_repair, substring_dedup, toxicity
+from . import chat, decontaminate, html_text, licences, mixing, pii, prefix_trie, quality_crf, quality_rules, simhash, structure_repair, substring_dedup, toxicity
 from .store import written
 
 
@@ -86,6 +86,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    name = F.array(*map(F.lit, pii.KINDS))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s.kind), s.start, s.end)), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """``turns`` with faults by a hash of (conv_id, turn): dropped (``gone``), emptied, without ends of sentences, repeated, or
     with the role user; nulls are one space."""
@@ -102,7 +110,7 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_licence_scan, op5_simhash, op6_decontamination, op7_quality_classifier, op8_html_extraction, op9_chat_formatting, op10_toxicity, op11_prefix_trie, op13_structure_repair)
+    ops = (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_licence_scan, op5_simhash, op6_decontamination, op7_quality_classifier, op8_html_extraction, op9_chat_formatting, op10_toxicity, op11_prefix_trie, op12_pii, op13_structure_repair)
     return {f.__name__: f for f in ops}
 
 
