@@ -111,20 +111,32 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(v, F.col("query_id") == F.col("vec_id"), "left").select("query_id", "query", "query_vec")
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of ``sf_dir``, built and stored by the first query of a session that needs it."""
-    known = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> Index:
+    """An index of ``sf_dir``, built and stored by the first query of a session that needs it."""
+    known = (spark.sparkContext.applicationId, sf_dir, name)
     if known not in _STORED:
-        d = docs(spark, sf_dir).drop("text").join(metadata(spark, sf_dir), "doc_id", "left")
-        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        Index(d, chunks(spark, sf_dir), vectors(spark, sf_dir)).write(path)
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        make().write(path)
         _STORED[known] = path
     return Index.read(spark, _STORED[known])
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).drop("text").join(metadata(spark, sf_dir), "doc_id", "left")
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return _once(spark, sf_dir, "index", lambda: Index(_described(spark, sf_dir), chunks(spark, sf_dir), vectors(spark, sf_dir)))
+
+
+def two_kbs(spark: SparkSession, sf_dir: str) -> Index:
+    """The documents in two knowledge bases, by even and odd ids."""
+    return _once(spark, sf_dir, "kbs", lambda: Index(_described(spark, sf_dir).withColumn("kb", F.concat(F.lit("kb"), F.col("doc_id") % 2)), chunks(spark, sf_dir), vectors(spark, sf_dir)))
+
+
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query, query_vec, expect): paths of the documents that contain the item.
 
@@ -160,11 +172,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select(F.concat(folder, "source_name", F.lit("-"), "doc_id", ext).alias("rel_path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
 
 
-def old_base(spark: SparkSession, sf_dir: str) -> Base:
+def old_base(spark: SparkSession, sf_dir: str, **cut) -> Base:
     """The tables of the earlier sync that ``manifest`` tells of."""
     d = docs(spark, sf_dir).filter(F.col("doc_id") % 10 != 8)
     was = d.withColumns({"text": F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("old"))).otherwise(F.col("text")), "doc_id": document_id("source_name", "rel_path"), "title": F.lit("t")})
-    made, vecs = index_documents(was, lengths_embedder, 2)
+    made, vecs = index_documents(was, lengths_embedder, 2, **cut)
     return Base(was.drop("text"), made, vecs, manifest(spark, sf_dir))
 
 
@@ -181,6 +193,17 @@ def contents_of(spark: SparkSession, sf_dir: str):
     return lambda keys: docs(spark, sf_dir).select("source_name", "rel_path", "text").join(keys, ["source_name", "rel_path"], "left_semi")
 
 
+def broken_contents_of(spark: SparkSession, sf_dir: str):
+    """Reads the texts of keys; every third can't be read, with an error, without a text, or not at all."""
+
+    def read(keys: DataFrame) -> DataFrame:
+        n = F.substring("rel_path", -6, 2).cast("int")
+        rows = contents_of(spark, sf_dir)(keys).withColumn("n", n).filter("n % 9 <> 6")
+        return rows.select("source_name", "rel_path", F.when(F.col("n") % 9 != 3, F.col("text")).alias("text"), F.when(F.col("n") % 9 == 0, "refused").alias("error"))
+
+    return read
+
+
 def lengths_embedder(texts: list[str]) -> np.ndarray:
     """In place of a model: a text's length and twice that."""
     return np.array([[len(t), 2 * len(t)] for t in texts])

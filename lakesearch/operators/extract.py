@@ -15,6 +15,8 @@ from ..functions import base_title, style_level, trim_all
 
 MAX_LINE_BYTES = 4 << 20
 SCAN_BYTES = 20
+#: Marks of fences that are followed at once.
+MARKS = 256
 
 
 def _doc() -> WindowSpec:
@@ -33,9 +35,9 @@ def explode_lines(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
-def overlong(lines: DataFrame, limit: int = MAX_LINE_BYTES) -> DataFrame:
-    """B1: documents with a line beyond the limit; their extraction counts as failed."""
-    return lines.filter(F.octet_length("line") > limit).select("doc_id").distinct()
+def has_overlong_line(text: Column, limit: int = MAX_LINE_BYTES) -> Column:
+    """B1: does a line have more bytes than the limit?  Such a document's extraction counts as failed."""
+    return (F.octet_length(text) > limit) & F.exists(F.split(text, "\n"), lambda line: F.octet_length(line) > limit)
 
 
 def skip_frontmatter(lines: DataFrame) -> DataFrame:
@@ -50,27 +52,33 @@ def skip_frontmatter(lines: DataFrame) -> DataFrame:
 def mark_fences(lines: DataFrame) -> DataFrame:
     """With ``fenced``: in a code fence, its two marks included; only the mark that opened a fence closes it.
 
-    Only mark lines are collected, by document; folding them gives the intervals."""
+    What is open after a mark line is worked out in two passes over a document's marks, both linear: the first notes what is
+    open before every ``MARKS``-th mark, the second starts from each of these notes.  A line then has the state of the last
+    mark before it, which a window carries forward."""
     mark = F.substring(trim_all(F.col("line")), 1, 3)
+    after = lambda was, m: F.when(was == "", m).when(was == m, "").otherwise(was)
+    none = lambda t: F.array().cast(t)
     marks = lines.filter(mark.isin("```", "~~~")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", mark.alias("mark")))).alias("marks"))
-    nothing = F.array().cast("array<struct<begin:int,end:int>>")
-    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("begin"), nothing.alias("done"))
-
-    def step(state: Column, m: Column) -> Column:
-        opens, closes = state.open == "", state.open == m.mark
-        return F.struct(
-            F.when(opens, m.mark).when(closes, "").otherwise(state.open).alias("open"),
-            F.when(opens, m.line_no).otherwise(state.begin).alias("begin"),
-            F.when(closes, F.concat(state.done, F.array(F.struct(state.begin.alias("begin"), m.line_no.alias("end"))))).otherwise(state.done).alias("done"),
-        )
-
-    def finish(state: Column) -> Column:
-        still = F.array(F.struct(state.begin.alias("begin"), F.lit(2**31 - 1).alias("end")))
-        return F.when(state.open == "", state.done).otherwise(F.concat(state.done, still))
-
-    fences = marks.select("doc_id", F.aggregate("marks", start, step, finish).alias("fences"))
-    inside = F.coalesce(F.exists("fences", lambda f: F.col("line_no").between(f.begin, f.end)), F.lit(False))
-    return lines.join(fences, "doc_id", "left").withColumn("fenced", inside).drop("fences")
+
+    def note(state: Column, m: Column) -> Column:
+        notes = F.when(state.i % MARKS == 0, F.concat(state.notes, F.array(state.open))).otherwise(state.notes)
+        return F.struct(after(state.open, m.mark).alias("open"), (state.i + 1).alias("i"), notes.alias("notes"))
+
+    def follow(state: Column, m: Column) -> Column:
+        now = after(state.open, m.mark)
+        return F.struct(now.alias("open"), F.concat(state.done, F.array(F.struct(m.line_no.alias("line_no"), now.alias("open")))).alias("done"))
+
+    notes = F.aggregate("marks", F.struct(F.lit("").alias("open"), F.lit(0).alias("i"), none("array<string>").alias("notes")), note).notes
+    parts = F.transform("notes", lambda was, i: F.struct(was.alias("open"), F.slice("marks", i * MARKS + 1, F.lit(MARKS)).alias("marks")))
+    part = marks.select("doc_id", "marks", notes.alias("notes")).select("doc_id", F.explode(parts).alias("part"))
+    done = F.aggregate("part.marks", F.struct(F.col("part.open").alias("open"), none("array<struct<line_no:int,open:string>>").alias("done")), follow).done
+    states = part.select("doc_id", F.explode(done).alias("x")).select("doc_id", "x.line_no", "x.open")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("doc_id", "line_no") else F.col(f.name) for f in lines.schema]
+    both = lines.withColumn("open", F.lit(None).cast("string")).unionByName(states.select(*blank, "open"))
+    # a state stands beside its mark line, before or behind it; a mark line is in a fence either way
+    so_far = F.last("open", ignorenulls=True).over(_so_far())
+    fenced = mark.isin("```", "~~~") | (F.coalesce(so_far, F.lit("")) != "")
+    return both.withColumn("fenced", fenced).filter("open is null").drop("open")
 
 
 def parse_atx_heading(line: Column) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ which sums are built.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,10 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import RRF_K, norm, relevance, sigmoid
+from ..sources import written
 
 CANDIDATES, POOL, LIMIT, MAX_PER_DOC = 50, 24, 8, 2
-#: Query vectors in a block that is sent to all tasks (with 1,024 dimensions: 32 MB).
-BLOCK = 4096
+#: Query vectors in a block and vectors in a part, which meet in one task (with 1,024 dimensions: 16 MB and 64 MB).
+BLOCK, PART = 4096, 16384
+#: Groups up to which their table of sizes may be broadcast.
+GROUPS = 100_000
 #: Scores that a matrix product makes at once (32 MB).
 CELLS = 1 << 22
 PLACES = 9
@@ -41,56 +44,59 @@ def ranked(scores: DataFrame, score: str, rank: str, k: int | None = None) -> Da
     return out if k is None else out.filter(F.col(rank) <= k)
 
 
-def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = BLOCK, part: int = PART, by: str | None = None) -> DataFrame:
     """(query_id, chunk_id, cosine, vec_rank), the ``k`` nearest of ``vectors`` (chunk_id, embedding, norm) for
-    each of ``queries`` (query_id, query_vec), exactly.
-
-    Queries go to the tasks in blocks of bounded size.  A batch of vectors is compared with a block by matrix products of at
-    most ``CELLS`` scores and keeps ``k`` candidates for each query, so all pairs never exist as rows.  Vectors and queries
-    without length have no neighbours.  With several blocks the vectors are scanned once for each.  With a column
-    ``filter_no`` queries only see the vectors whose array ``passes`` is true at that place (from 0)."""
-    asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec", *(["filter_no"] if "filter_no" in queries.columns else []))
-    n = asked.count()
-    parts = []
-    for b in range(max(1, -(-n // block))):
-        mine = asked if n <= block else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == b)
-        rows = mine.limit(2 * block + 1).toPandas()  # bounded by the block size
-        if len(rows) > 2 * block:
-            raise ValueError("queries share too many hash values for blocks of this size")
-        parts.append(_nearest(rows, queries.schema["query_id"].dataType.simpleString(), vectors.filter("norm > 0"), k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return ranked(out, "cosine", "vec_rank", k)
-
-
-def _nearest(queries: pd.DataFrame, id_type: str, vectors: DataFrame, k: int) -> DataFrame:
-    q = np.stack(queries["query_vec"].tolist()).astype(np.float64) if len(queries) else np.zeros((0, 1))
-    size = np.sqrt((q * q).sum(axis=1))
-    ids, q = queries["query_id"].to_numpy()[size > 0], q[size > 0] / size[size > 0, None]
-    filters = queries["filter_no"].to_numpy()[size > 0] if "filter_no" in queries else None
-    columns = ["chunk_id", "embedding", "norm", *(["passes"] if filters is not None else [])]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            step = max(1, CELLS // max(1, len(ids)))
-            for at in range(0, whole.num_rows if len(ids) else 0, step):
-                b = whole.slice(at, step)
-                x = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                scores = (q @ x.T) / b.column("norm").to_numpy()[None, :]
-                if filters is not None:
-                    scores[~np.stack(b.column("passes").to_numpy(zero_copy_only=False)).astype(bool).T[filters]] = -np.inf
-                if b.num_rows > k:
-                    # everything at the k-th score or above stays, so ties are settled by id later
-                    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    keep = scores >= least[:, None] - 2 * 10.0**-PLACES
-                else:
-                    keep = np.ones_like(scores, bool)
-                i, j = np.nonzero(keep & (scores > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), b.column("chunk_id").take(pa.array(j)), pa.array(scores[i, j])], ["query_id", "chunk_id", "cosine"])
-
-    chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
-    return vectors.select(*columns).mapInArrow(each, f"query_id {id_type}, chunk_id {chunk_type}, cosine double")
+    each of ``queries`` (query_id, query_vec), exactly.  With ``by``, a column of both, queries only meet vectors of their own
+    group.
+
+    Queries are dealt to blocks and vectors to parts of bounded size within each group; every block meets every part of its
+    group once, in one task, as a matrix product of at most ``CELLS`` scores at a time.  A meeting keeps ``k`` candidates for
+    each query, so all pairs never exist as rows, and no vector passes through the driver.  Vectors and queries without
+    length have no neighbours."""
+    group = F.col(by) if by else F.lit("")
+    asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec", group.alias("g"))
+    known = vectors.filter("norm > 0").select("chunk_id", "embedding", "norm", group.alias("g"))
+    pieces = lambda n, size: (F.lit(1) + F.floor((n - 1) / size)).cast("int")
+    shape = asked.groupBy("g").agg(pieces(F.count("*"), block).alias("blocks")).join(known.groupBy("g").agg(pieces(F.count("*"), part).alias("parts")), "g")
+    shape = written(shape, "knn_groups")  # a row for each group
+    shape = F.broadcast(shape) if shape.count() <= GROUPS else shape
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(shape, "g").select("g", deal("query_id", "blocks").alias("b"), all_of("parts").alias("p"), "query_id", "query_vec")
+    right = known.join(shape, "g").select("g", all_of("blocks").alias("b"), deal("chunk_id", "parts").alias("p"), "chunk_id", "embedding", "norm")
+    types = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    key = ["g", "b", "p"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda q, v: _nearest(q, v, k), f"query_id {types[0]}, chunk_id {types[1]}, cosine double")
+    return ranked(met, "cosine", "vec_rank", k)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = column.combine_chunks()
+    flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _nearest(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """Candidates (query_id, chunk_id, cosine) of a block of queries among a part of the vectors."""
+    names, found = ["query_id", "chunk_id", "cosine"], []
+    if queries.num_rows and vectors.num_rows:
+        q = _matrix(queries["query_vec"]).astype(np.float64)
+        size = np.sqrt((q * q).sum(axis=1))
+        ids, q = queries["query_id"].take(pa.array(np.flatnonzero(size))), q[size > 0] / size[size > 0, None]
+        step = max(1, CELLS // max(1, len(q)))
+        for at in range(0, vectors.num_rows if len(q) else 0, step):
+            v = vectors.slice(at, step)
+            scores = (q @ _matrix(v["embedding"]).astype(np.float64).T) / v["norm"].to_numpy()[None, :]
+            keep = np.ones_like(scores, bool)
+            if v.num_rows > k:
+                # everything at the k-th score or above stays, so ties are settled by id later
+                keep = scores >= (-np.partition(-scores, k - 1, axis=1)[:, k - 1])[:, None] - 2 * 10.0**-PLACES
+            i, j = np.nonzero(keep)
+            found.append(pa.table([ids.take(pa.array(i)), v["chunk_id"].take(pa.array(j)), pa.array(scores[i, j])], names))
+    if found:
+        return pa.concat_tables(found)
+    return pa.table([queries["query_id"].slice(0, 0), vectors["chunk_id"].slice(0, 0), pa.array([], pa.float64())], names)
 
 
 def rrf_fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:

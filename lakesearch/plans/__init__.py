@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import base_title, chunk_id, document_id, file_ext, format_of, metadata_matches, relevance, trim_all
 from ..operators import chunking, evaluate, extract, keyword, ranking, sync
+from ..sources import written
+from .index import Index
 
 #: Options of a query where it gives none.
 DEFAULTS = {"limit": ranking.LIMIT, "min_score": 0.0, "rerank": False, "max_per_doc": ranking.MAX_PER_DOC}
@@ -27,55 +29,39 @@ def with_defaults(queries: DataFrame) -> DataFrame:
     return out if "query_vec" in queries.columns else out.withColumn("query_vec", F.lit(None).cast("array<float>"))
 
 
-class Index:
-    """The tables that a search reads: documents (doc_id, source_name, rel_path, metadata, ...), chunks (chunk_id, doc_id,
-    text, ...), postings, chunk lengths and vectors (chunk_id, embedding, norm)."""
-
-    TABLES = ("docs", "chunks", "vectors", "postings", "lengths")
-
-    def __init__(self, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None):
-        self.docs, self.chunks, self.vectors = docs, chunks, vectors
-        self.postings = keyword.postings(chunks) if postings is None else postings
-        self.lengths = keyword.chunk_lengths(chunks) if lengths is None else lengths
-
-    def write(self, path: str) -> Index:
-        """The index stored below ``path`` and read from there: built once, searched many times."""
-        for name in self.TABLES:
-            table = getattr(self, name)
-            (keyword.in_order(table) if name == "postings" else table).write.parquet(f"{path}/{name}")
-        return Index.read(self.docs.sparkSession, path)
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.TABLES))
-
-
-#: Distinct metadata filters that a prefiltered search may have at once.
-FILTERS = 64
-
-
 def candidates(queries: DataFrame, index: Index, prefilter: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The two legs of a search, ranked, 50 for each query; with ``prefilter`` 50 that pass the query's metadata filter.  Queries
-    with a column ``kb`` see that knowledge base alone."""
-    if "kb" in queries.columns:
-        if prefilter:
-            raise ValueError("prefilter works within one knowledge base")
-        return _candidates_by_kb(queries, index)
-    scores = keyword.bm25(queries, index.postings, index.lengths)
+    """The two legs of a search, ranked, 50 for each query; with ``prefilter`` 50 that pass the query's metadata filter.  Of an
+    index by knowledge base queries (with a column ``kb``) see that knowledge base alone."""
+    if index.by_kb != ("kb" in queries.columns):
+        raise ValueError("queries and index must both have a column kb, or neither")
+    by = "kb" if index.by_kb else None
+    scores = keyword.bm25(queries, index.postings, index.lengths, index.stats, index.terms)
     if not prefilter:
-        return ranking.ranked(scores, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(queries, index.vectors)
-    as_text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("filter"))))
-    asked = queries.withColumn("asked", F.coalesce(as_text, F.lit("{}")))
-    known = [r.asked for r in asked.select("asked").distinct().orderBy("asked").limit(FILTERS + 1).collect()]  # bounded
-    if len(known) > FILTERS:
-        raise ValueError(f"more than {FILTERS} different filters in one search")
-    texts = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
-    numbered = asked.withColumn("filter_no", (F.array_position(texts, F.col("asked")) - 1).cast("int")).drop("asked")
-    passes = F.transform(texts, lambda t: metadata_matches(F.col("metadata"), F.from_json(t, "map<string,string>")))
-    allowed = index.chunks.select("chunk_id", "doc_id").join(index.docs.select("doc_id", passes.alias("passes")), "doc_id").select("chunk_id", "passes")
-    words = scores.join(numbered.select("query_id", "filter_no"), "query_id").join(allowed, "chunk_id").filter(F.get("passes", F.col("filter_no")))
+        return ranking.ranked(scores, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(queries, index.vectors, by=by)
+    as_text = F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("filter")))), F.lit("{}"))
+    asked = queries.withColumn("seen", F.concat_ws(keyword.KB_END, *([by] if by else []), as_text))
+    allowed = visible(asked.select("seen", "filter", *([by] if by else [])).dropDuplicates(["seen"]), index)
+    words = scores.join(asked.select("query_id", "seen"), "query_id").join(allowed, ["seen", "chunk_id"])
     words = ranking.ranked(words.select("query_id", "chunk_id", "bm25"), "bm25", "fts_rank", ranking.CANDIDATES)
-    return words, ranking.knn_cosine(numbered, index.vectors.join(allowed, "chunk_id"))
+    return words, ranking.knn_cosine(asked, index.vectors.join(allowed, "chunk_id"), by="seen")
+
+
+def visible(filters: DataFrame, index: Index) -> DataFrame:
+    """(seen, chunk_id): the chunks whose documents pass each of ``filters`` (seen, filter, and ``kb`` of an index by it).
+
+    A filter is looked up by one pair of key and value among those of the documents and then tested in full; only filters
+    without such a pair, which ask for nothing or for missing keys, are compared with every document."""
+    kb = ["kb"] if index.by_kb else []
+    pair = F.get(F.filter(F.map_entries("filter"), lambda e: e.value != ""), F.lit(0))
+    asked = filters.withColumn("pair", pair)
+    docs = index.docs.select("doc_id", "metadata", *kb)
+    passes = metadata_matches(F.col("metadata"), F.col("filter"))
+    entries = docs.select("*", F.explode("metadata").alias("key", "value"))
+    known = asked.filter("pair is not null").select("*", F.col("pair.key").alias("key"), F.col("pair.value").alias("value"))
+    found = known.join(entries, ["key", "value", *kb]).filter(passes).select("seen", "doc_id")
+    rest = asked.filter("pair is null").select("seen", "filter", *kb)
+    found = found.union((docs.join(rest, kb) if kb else docs.join(F.broadcast(rest))).filter(passes).select("seen", "doc_id"))
+    return found.join(index.chunks.select("chunk_id", "doc_id"), "doc_id").select("seen", "chunk_id")
 
 
 def search(queries: DataFrame, index: Index, scorer: Callable[[list[str], list[str]], list[float]] | Column | None = None, prefilter: bool = False) -> DataFrame:
@@ -96,30 +82,14 @@ def search(queries: DataFrame, index: Index, scorer: Callable[[list[str], list[s
     return ranking.above_min_score(ranking.limited(ranking.cap_per_document(hits))).drop("filter", "min_score", "rerank", "max_per_doc")
 
 
-def _candidates_by_kb(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    of_chunk = index.chunks.select("chunk_id", "doc_id").join(index.docs.select("doc_id", "kb"), "doc_id").select("chunk_id", "kb")
-    words = keyword.bm25(queries, index.postings.join(of_chunk, "chunk_id"), index.lengths.join(of_chunk, "chunk_id"))
-    names = _names(index)
-    places = F.array(*map(F.lit, names))
-    numbered = queries.withColumn("filter_no", (F.array_position(places, F.col("kb")) - 1).cast("int"))
-    passes = F.transform(places, lambda name: name == F.col("kb"))
-    return ranking.ranked(words, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(numbered, index.vectors.join(of_chunk.select("chunk_id", passes.alias("passes")), "chunk_id"))
-
-
-def _names(index: Index) -> list[str]:
-    names = [r.kb for r in index.docs.select("kb").distinct().orderBy("kb").limit(FILTERS + 1).collect()]  # bounded
-    if len(names) > FILTERS:
-        raise ValueError(f"more than {FILTERS} knowledge bases in one search")
-    return names
-
-
-def search_all(queries: DataFrame, index: Index, scorer=None) -> DataFrame:
+def search_all(queries: DataFrame, index: Index, scorer=None, prefilter: bool = False) -> DataFrame:
     """L2: ``search`` in every knowledge base (column ``kb`` of the documents) at once, merged by relevance: each query is asked
-    once for each of them, in one plan."""
-    names = _names(index)
-    asked = queries.withColumn("kb", F.explode(F.array(*map(F.lit, names)))).withColumn("asked_id", F.concat("kb", F.lit(keyword.KB_END), F.col("query_id").cast("string")))
+    once for each of them, in one plan, and meets the postings and vectors of each once."""
+    kbs = index.docs.select("kb").distinct()
+    asked = kbs.join(F.broadcast(queries)) if queries.count() <= keyword.SMALL else queries.join(kbs)  # every query, every knowledge base
+    asked = asked.withColumn("asked_id", F.concat("kb", F.lit(keyword.KB_END), F.col("query_id").cast("string")))
     of = asked.select(F.col("asked_id"), F.col("query_id").alias("own_id"))
-    hits = search(asked.drop("query_id").withColumnRenamed("asked_id", "query_id"), index, scorer)
+    hits = search(asked.drop("query_id").withColumnRenamed("asked_id", "query_id"), index, scorer, prefilter)
     back = hits.withColumnRenamed("query_id", "asked_id").join(of, "asked_id").drop("asked_id").withColumnRenamed("own_id", "query_id")
     return ranking.merge_by_relevance(back)
 
@@ -132,12 +102,15 @@ def extract_blocks(docs: DataFrame) -> DataFrame:
 
 
 def index_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int, contextualizer=None, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(chunks, vectors) of ``docs`` (doc_id, rel_path, title, text)."""
+    """(chunks, vectors) of ``docs`` (doc_id, rel_path, title, text).
+
+    Both are tables in the shared folder: documents are read and cut once, a chunk's context is made once and is the one that
+    is embedded, and each text goes to the model once."""
     chunks = chunking.chunk_blocks(extract_blocks(docs), max_tokens, overlap)
     chunks = chunking.contextualize_chunks(chunks, docs, contextualizer) if contextualizer else chunks.withColumn("context", F.lit(""))
-    chunks = chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("seq")))
+    chunks = written(chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("seq"))), "chunks")
     made = chunking.embed_texts(chunking.with_embedding_text(chunks), embed, dim)
-    return chunks, ranking.read_embeddings(made.select("chunk_id", "embedding"), dim)
+    return chunks, written(ranking.read_embeddings(made.select("chunk_id", "embedding"), dim), "vectors")
 
 
 @dataclass(frozen=True)
@@ -157,30 +130,78 @@ def _replaced(base: Base, gone: DataFrame, docs: DataFrame, chunks: DataFrame, v
     return Base(left.unionByName(docs.select(*left.columns)), kept.unionByName(chunks.select(*kept.columns)), held.unionByName(vectors.select(*held.columns)), manifest)
 
 
-def _applied(diff: DataFrame, base: Base, manifest: DataFrame, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> Base:
+@dataclass(frozen=True)
+class Changes:
+    """What a sync found: ``diff`` without the keys that failed, the new documents, chunks and vectors, the keys whose old rows
+    go, and the keys that failed with the reason (``error``)."""
+
+    diff: DataFrame
+    docs: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+    gone: DataFrame
+    failed: DataFrame
+
+
+def changes(diff: DataFrame, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> Changes:
+    """Reads, extracts, cuts and embeds what ``diff`` says is to be indexed.
+
+    ``contents`` takes keys and returns them with ``text`` and, if it likes, ``error``.  A document with an error, without a
+    text or with a line beyond the limit fails alone: it is left out here and has its reason in ``failed``.  An error of a
+    model ends the job; nothing is half done then, because callers store the result as a whole."""
     key = sync.key_of(diff)
-    texts = contents(diff.filter("action = 'index'").select(*key))
+    wanted = diff.filter("action = 'index'").select(*key)
+    got = contents(wanted)
+    error = F.col("error") if "error" in got.columns else F.lit(None).cast("string")
+    got = got.select(*key, "text", error.alias("error"))
+    reason = F.coalesce("error", F.when(F.col("text").isNull(), "cannot be read"), F.when(extract.has_overlong_line(F.col("text")), "a line is too long"))
+    read = written(wanted.join(got, key, "left").withColumn("error", reason), "contents")
+    failed = read.filter("error is not null").select(*key, "error")
+    texts = read.filter("error is null").select(*key, "text")
     docs = texts.withColumns({"doc_id": document_id(*key), "title": base_title(F.col("rel_path"))})
     chunks, vectors = index_documents(docs, embed, dim, contextualizer, **cut)
-    gone = diff.filter("action in ('index', 'delete')").select(*key)
-    return _replaced(base, gone, docs.drop("text"), chunks, vectors, sync.next_manifest(manifest, diff))
+    left = diff.join(failed.select(*key), key, "left_anti")
+    return Changes(left, docs.drop("text"), chunks, vectors, left.filter("action in ('index', 'delete')").select(*key), failed)
+
+
+def _applied(diff: DataFrame, base: Base, manifest: DataFrame, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> tuple[Base, Changes]:
+    made = changes(diff, contents, embed, dim, contextualizer, **cut)
+    return _replaced(base, made.gone, made.docs, made.chunks, made.vectors, sync.next_manifest(manifest, made.diff)), made
 
 
 def sync_source(listing: DataFrame, base: Base, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, verify: bool = False, **cut) -> tuple[Base, DataFrame]:
-    """L4: (tables after a sync, summary) of a source: changed documents are read by ``contents`` (keys to keys and text),
-    extracted, cut, embedded and put in place of their old rows; those that aren't listed any more go.
+    """L4: (tables after a sync, summary) of a source: changed documents are read by ``contents`` (see ``changes``), extracted,
+    cut, embedded and put in place of their old rows; those that aren't listed any more go.
 
-    A document that became blank loses its chunks, its manifest row stays.  Nothing is written here: the tables are written
-    as a whole or, after an error in any step, not at all."""
+    Failed documents keep their old rows and their old row in the manifest, so the next sync tries them again, and are counted.
+    A document that became blank loses its chunks, its manifest row stays.  The tables of ``base`` aren't touched: the result
+    is stored as a whole or, after an error of a model, not at all."""
     manifest = sync.read_manifest(base.manifest, base.chunks)
     diff = sync.manifest_diff(listing, manifest, verify)
-    return _applied(diff, base, manifest, contents, embed, dim, contextualizer, **cut), sync.sync_summary(diff)
+    after, made = _applied(diff, base, manifest, contents, embed, dim, contextualizer, **cut)
+    return after, sync.sync_summary(diff, made.failed)
 
 
 def sync_paths(dirty: DataFrame, listing: DataFrame, base: Base, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> tuple[Base, DataFrame]:
     """As ``sync_source`` for the keys of ``dirty`` alone: (tables, actions)."""
     diff = sync.sync_paths(dirty, listing, base.manifest)
-    return _applied(diff, base, base.manifest, contents, embed, dim, contextualizer, **cut), diff
+    return _applied(diff, base, base.manifest, contents, embed, dim, contextualizer, **cut)[0], diff
+
+
+def sync_index(listing: DataFrame, index: Index, manifest: DataFrame, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, verify: bool = False, **cut) -> tuple[Index, DataFrame, DataFrame]:
+    """L4 on a stored index: (index with one more segment, next manifest, summary).  Postings, lengths and statistics follow
+    the documents; only what changed is read, tokenised and embedded.  Columns of documents that the sync doesn't know are
+    null."""
+    manifest = sync.read_manifest(manifest, index.chunks)
+    diff = sync.manifest_diff(listing, manifest, verify)
+    made = changes(diff, contents, embed, dim, contextualizer, **cut)
+    key = sync.key_of(index.docs, made.gone)
+    gone = index.docs.join(made.gone, key, "left_semi").select("doc_id")
+    return index.updated(gone, _shaped(made.docs, index.docs), _shaped(made.chunks, index.chunks), made.vectors), sync.next_manifest(manifest, made.diff), sync.sync_summary(diff, made.failed)
+
+
+def _shaped(new: DataFrame, like: DataFrame) -> DataFrame:
+    return new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema))
 
 
 def rebuild(listing: DataFrame, base: Base, contents: Callable[[DataFrame], DataFrame], embed, dim: int, contextualizer=None, **cut) -> tuple[Base, DataFrame]:

@@ -16,7 +16,7 @@ from . import functions as fn
 from . import plans
 from .operators import chunking, evaluate, extract, keyword, ranking, sync
 from .sources import contents, golden_queries, listed, shared_dir
-from .streaming import EVENTS, debounce_paths, initial_then_live, managed_write_stream, poll_source, resync_on_fire, watch_event_counts, watch_source
+from .streaming import EVENTS, Ledger, debounce_paths, initial_then_live, managed_write_stream, poll_source, resync_on_fire, watch_event_counts, watch_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -444,7 +444,7 @@ def E02_bm25_corpus_stats(spark, d):
 @query("SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm")
 def E03_bm25_score(spark, d):
     i = b.index(spark, d)
-    return keyword.bm25(b.queries(spark, d), i.postings, i.lengths).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
+    return keyword.bm25(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("SELECT query_id, chunk_id, round(rrf, 6) AS rrf FROM rrf")
@@ -500,7 +500,7 @@ def E12_needs_sigmoid(spark, d):
 
 def _keyword(spark, d):
     i = b.index(spark, d)
-    return ranking.ranked(keyword.bm25(b.queries(spark, d), i.postings, i.lengths), "bm25", "fts_rank", ranking.CANDIDATES)
+    return ranking.ranked(keyword.bm25(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms), "bm25", "fts_rank", ranking.CANDIDATES)
 
 
 def _vector(spark, d):
@@ -727,8 +727,8 @@ def _run(query):
     query.awaitTermination()
 
 
-def _appended(path):
-    return lambda rows: rows.write.mode("append").parquet(path)
+def _ledger(spark):
+    return Ledger(spark, _path(spark, "ledger"))
 
 
 @query(f"SELECT kb, source_name, rel_path, epoch_us(ts) // 1000 AS ts FROM ({_NOTICED}) WHERE rel_path LIKE '%.md'")
@@ -750,25 +750,35 @@ def _dirty_log(spark, d):
 _ACTIONS = "source_name string, rel_path string, action string, size_bytes long, mtime long, content_sha256 string"
 
 
-def _live(spark, d, out):
-    fired = debounce_paths(watch_source(spark, _dirty_log(spark, d)))
-    return resync_on_fire(fired, lambda: b.listing(spark, d), lambda: b.manifest(spark, d), _appended(out), _path(spark, "points"))
+def _live(spark, d, ledger, log):
+    fired = debounce_paths(watch_source(spark, log))
+    return resync_on_fire(fired, lambda: b.listing(spark, d), lambda: b.manifest(spark, d), lambda actions, n: ledger.store("actions", n, actions), _path(spark, "points"))
 
 
 @query("SELECT source_name, rel_path, action, size_bytes, mtime, content_sha256 FROM spath")
 def J03_resync_on_fire(spark, d):
-    out = _path(spark, "actions")
-    _run(_live(spark, d, out))
-    return spark.read.schema(_ACTIONS).parquet(out).filter("source_name <> 'none'").distinct()
+    ledger, log = _ledger(spark), _dirty_log(spark, d)
+    for _ in range(2):  # without the first one's checkpoint the second sends every batch again
+        _run(_live(spark, d, ledger, log))
+    return ledger.read("actions", _ACTIONS).filter("source_name <> 'none'").drop("batch")
 
 
 @query("SELECT source_name, rel_path, action, size_bytes, mtime, content_sha256 FROM diff")
 def J04_poll_source(spark, d):
-    listings, out = _path(spark, "listings"), _path(spark, "differences")
-    b.listing(spark, d).write.parquet(listings)
-    stream = spark.readStream.schema("source_name string, rel_path string, size_bytes long, mtime long, content_sha256 string").parquet(listings)
-    _run(poll_source(stream, lambda: b.manifest(spark, d), _appended(out), _path(spark, "points")))
-    return spark.read.schema(_ACTIONS).parquet(out)
+    ledger, root = _ledger(spark), _path(spark, "listings")
+    listing = b.listing(spark, d)
+    # a listing in three parts, each a batch, and after two of them a whole one that lacks half of its rows
+    rows = listing.withColumns({"listing": F.lit(1).cast("long"), "total": F.lit(listing.count()).cast("long"), "part": F.pmod(F.xxhash64("rel_path"), F.lit(3))})
+    schema = "source_name string, rel_path string, size_bytes long, mtime long, content_sha256 string, listing long, total long"
+    start = lambda: poll_source(spark.readStream.schema(schema).parquet(root), lambda: b.manifest(spark, d), lambda diff, n: ledger.store("differences", n, diff), ledger, points)
+    points = _path(spark, "points")
+    for part in range(3):
+        if part == 2:
+            rows.filter("part = 0").withColumn("listing", F.lit(0).cast("long")).drop("part").write.mode("append").parquet(root)
+            _run(start())
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(root)
+        _run(start())
+    return ledger.read("differences", _ACTIONS).drop("batch")
 
 
 @query("SELECT kb, source_name, count(*) AS n_events FROM logs GROUP BY kb, source_name")
@@ -778,20 +788,21 @@ def J05_watch_event_counts(spark, d):
 
 @query("SELECT 'initial' AS stage, source_name, rel_path, action FROM diff UNION ALL SELECT 'live', source_name, rel_path, action FROM spath")
 def J06_initial_then_live(spark, d):
-    first, out = _path(spark, "initial"), _path(spark, "actions")
-    _run(initial_then_live(lambda: sync.manifest_diff(b.listing(spark, d), b.manifest(spark, d)).write.parquet(first), lambda: _live(spark, d, out)))
-    stages = [spark.read.schema(_ACTIONS).parquet(p).filter("source_name <> 'none'").distinct().select(F.lit(stage).alias("stage"), "source_name", "rel_path", "action") for stage, p in (("initial", first), ("live", out))]
+    ledger, log = _ledger(spark), _dirty_log(spark, d)
+    _run(initial_then_live(lambda: ledger.store("initial", 0, sync.manifest_diff(b.listing(spark, d), b.manifest(spark, d))), lambda: _live(spark, d, ledger, log)))
+    stages = [ledger.read(name, _ACTIONS).filter("source_name <> 'none'").select(F.lit(stage).alias("stage"), "source_name", "rel_path", "action") for stage, name in (("initial", "initial"), ("live", "actions"))]
     return stages[0].union(stages[1])
 
 
 @query(f"SELECT kb, rel_path, title, CAST(strlen(content) AS BIGINT) AS size_bytes FROM mg WHERE kb <> 'frozen' AND NOT {_BLANK}")
 def J07_managed_write_stream(spark, d):
-    writes, out = _stored(b.writes(spark, d), "writes"), _path(spark, "managed")
+    writes, ledger = _stored(b.writes(spark, d), "writes"), _ledger(spark)
     kbs = _kbs(spark, d)
-    store = lambda batch: _appended(out)(sync.managed_documents(sync.writable_guard(batch, kbs)[0], F.col("kb")).select("kb", "rel_path", "title", "size_bytes"))
-    stream = spark.readStream.schema("key string, kb string, ts timestamp, title string, content string, metadata map<string,string>").json(writes)
-    _run(managed_write_stream(stream, store, _path(spark, "points")))
-    return spark.read.schema("kb string, rel_path string, title string, size_bytes long").parquet(out)
+    store = lambda batch, n: ledger.store("managed", n, sync.managed_documents(sync.writable_guard(batch, kbs)[0], F.col("kb")).select("kb", "rel_path", "title", "size_bytes"))
+    for _ in range(2):  # every batch comes twice
+        stream = spark.readStream.schema("key string, kb string, ts timestamp, title string, content string, metadata map<string,string>").json(writes)
+        _run(managed_write_stream(stream, store, _path(spark, "points")))
+    return ledger.read("managed", "kb string, rel_path string, title string, size_bytes long").drop("batch")
 
 
 # whole jobs
@@ -827,22 +838,17 @@ def L03_search_reranked(spark, d):
     return plans.search(asked, b.index(spark, d), _scores()).select("query_id", "doc_id", "rank", F.round("relevance", 6).alias("relevance"))
 
 
-def _two_kbs(spark, d):
-    i = b.index(spark, d)
-    return plans.Index(i.docs.withColumn("kb", F.concat(F.lit("kb"), F.col("doc_id") % 2)), i.chunks, i.vectors, i.postings, i.lengths)
-
-
 _ALL = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(least(1, rrf / (2.0::DOUBLE / 61)), 9) DESC, kb, rank) AS merged_rank FROM kfr WHERE rank <= 8"
 
 
 @query(f"SELECT query_id, kb, chunk_id AS doc_id, merged_rank::INTEGER AS merged_rank FROM ({_ALL}) WHERE merged_rank <= 8")
 def L02_search_all(spark, d):
-    return plans.search_all(b.queries(spark, d), _two_kbs(spark, d)).select("query_id", "kb", "doc_id", "merged_rank")
+    return plans.search_all(b.queries(spark, d), b.two_kbs(spark, d)).select("query_id", "kb", "doc_id", "merged_rank")
 
 
 @query(f"SELECT query_id, kb, count(*) AS n FROM ({_ALL}) WHERE merged_rank <= 8 GROUP BY query_id, kb")
 def H01_union_kbs(spark, d):
-    return plans.search_all(b.queries(spark, d), _two_kbs(spark, d)).groupBy("query_id", "kb").agg(F.count("*").alias("n"))
+    return plans.search_all(b.queries(spark, d), b.two_kbs(spark, d)).groupBy("query_id", "kb").agg(F.count("*").alias("n"))
 
 
 _SHOWN = "t.source_name, t.rel_path, c.seq, c.start_line, c.end_line, c.text, CAST(length(c.text) AS DOUBLE) AS size"
@@ -859,6 +865,48 @@ def L04_sync_source(spark, d):
     return _synced(plans.sync_source(b.listing(spark, d), b.old_base(spark, d), b.contents_of(spark, d), b.lengths_embedder, 2)[0])
 
 
+_UNREAD = "CASE WHEN CAST(substr(rel_path, -6, 2) AS INTEGER) % 3 = 0 THEN 1 ELSE 0 END"
+
+
+@query(f"""SELECT source_name, count_if(action = 'index' AND {_UNREAD} = 0) AS indexed, count_if(action = 'delete') AS deleted, count_if(action IN ('skip', 'touch')) AS skipped, count_if(action = 'index' AND {_UNREAD} = 1) AS failed FROM diff GROUP BY source_name""")
+def L04_sync_with_failures(spark, d):
+    return plans.sync_source(b.listing(spark, d), b.old_base(spark, d), b.broken_contents_of(spark, d), b.lengths_embedder, 2)[1]
+
+
+_AFTER_FAILURES = f"SELECT source_name, rel_path, doc_id % 10 AS k, {_UNREAD} AS unread, text FROM docs WHERE doc_id % 10 <> 9"
+
+
+@query(f"SELECT source_name, rel_path, length(regexp_replace(CASE WHEN k = 2 AND unread = 1 THEN text || 'old' ELSE text END, '\n+\\z', ''))::BIGINT AS n_chars, false AS known FROM ({_AFTER_FAILURES}) WHERE NOT (k = 8 AND unread = 1) AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
+def L04_failures_keep_old_rows(spark, d):
+    whole = {"max_tokens": 1 << 30, "overlap": 0}
+    after, _ = plans.sync_source(b.listing(spark, d), b.old_base(spark, d, **whole), b.broken_contents_of(spark, d), b.lengths_embedder, 2, **whole)
+    rows = after.chunks.join(after.docs.select("doc_id", "source_name", "rel_path"), "doc_id").join(after.vectors, "chunk_id")
+    return rows.select("source_name", "rel_path", F.length("text").cast("long").alias("n_chars"), (F.col("embedding")[0] != F.length("text")).alias("known"))
+
+
+def _sql_after_sync():
+    """The keyword leg over the listed documents, whose chunks have the ids that a sync gives them."""
+    key = "length(source) || ':' || source || length(path) || ':' || path"
+    corpus = f"corpus AS (SELECT left(sha256({key}), 32) || '-000000000' AS cid, path, text FROM (SELECT *, lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt' AS path FROM documents WHERE doc_id % 10 <> 9))"
+    text = b.sql("SELECT query_id, fts_rank, path AS rel_path, round(bm25, 6) AS bm25 FROM kw JOIN corpus ON cid = chunk_id")
+    return text.replace("doc_id AS chunk_id", "cid AS chunk_id").replace("FROM documents", "FROM corpus").replace("WITH RECURSIVE ", f"WITH RECURSIVE {corpus},\n", 1)
+
+
+def L04_search_after_sync(spark, d):
+    """A sync adds a segment to a stored index; a search of both segments, and of the two made one, gives the same hits."""
+    whole = {"max_tokens": 1 << 30, "overlap": 0}
+    base = b.old_base(spark, d, **whole)
+    old = plans.Index(base.docs.select("doc_id", "source_name", "rel_path", "title"), base.chunks, base.vectors).write(_path(spark, "synced"))
+    new, _, _ = plans.sync_index(b.listing(spark, d), old, base.manifest, b.contents_of(spark, d), b.lengths_embedder, 2, **whole)
+    hits = lambda i: ranking.ranked(keyword.bm25(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms), "bm25", "fts_rank", ranking.CANDIDATES)
+    both = hits(new).join(hits(new.merged()).select("query_id", "chunk_id", F.col("fts_rank").alias("merged_rank")), ["query_id", "chunk_id"], "full_outer").filter("fts_rank <=> merged_rank")
+    found = both.join(new.chunks.select("chunk_id", "doc_id"), "chunk_id").join(new.docs.select("doc_id", "rel_path"), "doc_id")
+    return found.select("query_id", "fts_rank", "rel_path", F.round("bm25", 6).alias("bm25"))
+
+
+_FOUND["L04_search_after_sync"] = L04_search_after_sync, _sql_after_sync()
+
+
 @query("SELECT source_name, rel_path, size_bytes, mtime, content_sha256 FROM lst")
 def L04_sync_manifest(spark, d):
     return plans.sync_source(b.listing(spark, d), b.old_base(spark, d), b.contents_of(spark, d), b.lengths_embedder, 2)[0].manifest

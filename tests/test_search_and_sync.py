@@ -258,7 +258,7 @@ def test_streams(spark, tmp_path):
 
     def live():
         stream = debounce_paths(watch_source(spark, str(log)))
-        return resync_on_fire(stream, lambda: listing, lambda: manifest, lambda actions: seen.extend((r.rel_path, r.action) for r in actions.collect()), str(point / "a"))
+        return resync_on_fire(stream, lambda: listing, lambda: manifest, lambda actions, n: seen.extend((r.rel_path, r.action) for r in actions.collect()), str(point / "a"))
 
     initial_then_live(lambda: synced.append(1), live).awaitTermination()
     assert synced == [1] and ("a.md", "index") in seen and all(p in ("a.md", "b.md") for p, _ in seen)
@@ -266,5 +266,5 @@ def test_streams(spark, tmp_path):
     counted.awaitTermination()
     assert spark.table("counted").first().n_events == 6
     stored = []
-    managed_write_stream(watch_source(spark, str(log)), lambda batch: stored.append(batch.count()), str(point / "b")).awaitTermination()
+    managed_write_stream(watch_source(spark, str(log)), lambda batch, n: stored.append(batch.count()), str(point / "b")).awaitTermination()
     assert sum(stored) == 6
