@@ -1,16 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained with the library's trainer, one on windows of toxic texts and one on as many windows of
-ordinary ones.  A text is cut into windows of ``WIDTH`` words; each window is compressed with both dictionaries, and what the
-toxic one saves is its evidence.  What savings of at least so many bytes are worth is calibrated on labelled texts that the
+Pairs of zstandard dictionaries are trained with the library's trainer, one of a pair on words of toxic texts and one on as many
+of ordinary ones.  A text is cut into windows; each window is compressed with both dictionaries of a pair, and what the toxic
+one saves is its evidence.  What savings of at least so many bytes are worth is calibrated on labelled texts that the
 dictionaries haven't seen: how much more often windows of toxic texts reach each threshold than those of ordinary ones.  A
 document's score is a calibrated function of the sum and the best of its windows' evidence.
 
-Windows are short for a compressor, so they are prepared.  A word is written with its growing beginnings before it (``tr tra
-tras trash``): a word that a dictionary knows is then one long match, one that it doesn't know many short ones, and the
-difference is several bytes.  All dictionaries and windows share a preamble, so a window is never stored uncompressed, and both
-dictionaries begin with the same ordinary windows, so what both know costs the same.  The trainer keeps what is frequent in
-its samples; several trainings on parts of them keep what is frequent in some texts only, for example in one language.
+A window is a word, written with its growing beginnings before it (``tr tra tras trash``): a word that a dictionary knows, or
+whose beginning it knows, is then one long match, another one many short ones, and the difference is several bytes.  Runs of
+more than ``RUN`` characters are several windows that overlap.  All dictionaries and windows share a preamble, so a window is never
+stored uncompressed, and both dictionaries of a pair begin with the same ordinary words, so what both know costs the same.
+The trainer keeps what is frequent in its samples; several trainings on parts of them keep what is frequent in some texts
+only, for example in one language.  Words that texts of both classes hold train neither dictionary.
+
+One pair's savings are noisy: which of two dictionaries happens to hold a piece of an ordinary word decides about bytes.  So
+``PAIRS`` pairs are trained, each without one of ``FOLDS`` folds of the sample, and their savings are averaged; a word that the
+first pair sees no saving in isn't shown to the others.  The folds give the savings to calibrate on.  Equal words have equal
+savings, so a worker remembers those of words that it has met.
 """
 
 from __future__ import annotations
@@ -30,36 +36,51 @@ from .training import logistic, sample, sigmoid
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 20_000
-#: Words in a window; lengths of a word's beginnings in bytes; characters of the pieces of a longer run, and how many they share.
-WIDTH, BEGINNINGS, RUN, SHARED = 6, range(2, 10), 24, 8
-#: Bytes of a trained dictionary, trainings on parts of the samples, bytes of ordinary windows before them, and the trainer's
-#: lengths of segments and of the strings that it counts.
-SIZE, PARTS, BASE, SEGMENT, STRING = 3000, 16, 250_000, 40, 8
-#: Least and most saving in bytes that is told apart.
-LEAST, MOST = -8, 40
-#: Windows that are compressed at once.
-BATCH = 4096
+#: Lengths of a word's beginnings in bytes; characters of the pieces of a longer run, and how many they share; marks that don't
+#: belong to a word at its ends.
+BEGINNINGS, RUN, SHARED, EDGES = range(2, 10), 24, 8, ".,;:!?\"'()"
+#: Pairs of dictionaries, and folds of the sample of which each pair misses one.
+PAIRS, FOLDS = 6, 3
+#: Bytes of a trained dictionary, trainings on parts of the samples, bytes of ordinary words before them, words in a training
+#: sample, and the trainer's lengths of segments and of the strings that it counts.
+SIZE, PARTS, BASE, TOGETHER, SEGMENT, STRING = 1500, 16, 100_000, 3, 40, 8
+#: Least and most saving in bytes that is told apart, steps in a byte, and the saving at which the other pairs are asked.
+LEAST, MOST, STEPS, ASKED = -8, 40, 2, 1
+#: Shares of the ordinary texts of the sample that may be rejected, by the pairs that missed them (the average of all pairs is
+#: steadier and rejects fewer), and how many times a share of them must be outweighed by that of the toxic ones found.
+REFUSED, PRICE = (0.0, 0.0025, 0.005, 0.01, 0.02, 0.03), 2.5
+#: Characters of text that are looked at together, and words whose evidence a worker remembers.
+PIECE, REMEMBERED = 1 << 19, 600_000
 PREAMBLE = bytes(range(232, 256))
 
 
 def _words(text: str | None) -> list[str]:
     out = []
     for w in (text or "").lower().split():
+        w = w.strip(EDGES) or w
         out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w) - SHARED, RUN - SHARED)]
     return out
 
 
-@lru_cache(1 << 17)
+def _pieces(text: str | None) -> Iterator[str]:
+    """A text in pieces of about ``PIECE`` characters, cut at white space where there is any nearby."""
+    text, at = text or "", 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and end < at + 2 * PIECE and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def _grown(word: str) -> bytes:
     w = word.encode()
     return b"".join(b" " + w[:n] for n in BEGINNINGS if n < len(w)) + b" " + w
 
 
-def windows(text: str | None) -> list[bytes]:
-    """The prepared windows of a text: each ``WIDTH`` words, the last with up to half as many more; null or empty: none."""
-    words = _words(text)
-    cuts = [*range(0, max(len(words) - WIDTH // 2, 1), WIDTH), len(words)] if words else []
-    return [b"".join(map(_grown, words[i:j])) + b" " for i, j in zip(cuts, cuts[1:])]
+def window(word: str) -> bytes:
+    """What is compressed of a word."""
+    return PREAMBLE + _grown(word) + b" "
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -69,23 +90,28 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | None:
-    """Dictionaries (toxic, ordinary) from equal numbers of windows of both classes; ``None`` if one has no window."""
-    rng, found = random.Random(0), ([], [])
-    for t, y in zip(texts, toxic, strict=True):
-        found[y].extend(windows(t))
-    for f in found:
-        rng.shuffle(f)
-    ordinary, bad = found
+def train_dictionaries(texts: list[list[str]], toxic: np.ndarray, seed: int = 0) -> tuple[bytes, bytes] | None:
+    """Dictionaries (toxic, ordinary) from equal numbers of words (``texts`` as lists of words) of both classes; ``None`` if one
+    has no word of its own."""
+    rng, known, found = random.Random(seed), (set(), set()), ([], [])
+    for ws, y in zip(texts, toxic, strict=True):
+        known[y].update(ws)
+    run = lambda ws, n: [b"".join(map(_grown, ws[i : i + n])) + b" " for i in range(0, len(ws), n)]
+    plain = []
+    for ws, y in zip(texts, toxic, strict=True):
+        found[y].extend(run([w for w in dict.fromkeys(ws) if w not in known[1 - y]], TOGETHER))
+        plain += run(ws, 6) if y == 0 else []
+    for x in (plain, *found):
+        rng.shuffle(x)
     base, n = b"", 0
-    while n < len(ordinary) // 2 and len(base) < BASE:
-        base += ordinary[n]
+    while n < len(plain) and len(base) < BASE:
+        base += plain[n]
         n += 1
-    n_each = min(len(bad), len(ordinary) - n)
+    n_each = min(map(len, found))
     if not n_each:
         return None
     made = []
-    for samples in (bad[:n_each], ordinary[n : n + n_each]):
+    for samples in (found[1][:n_each], found[0][:n_each]):
         parts = [_trained(samples[k::PARTS], SIZE) for k in range(PARTS)] if n_each >= 100 * PARTS else []
         made.append(b"".join([base, *parts, _trained(samples, SIZE), PREAMBLE]))
     return made[0], made[1]
@@ -99,47 +125,81 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
 
-def _batches(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Windows of all texts with the place of their text, a bounded number at a time."""
-    of, run = [], []
-    for i, t in enumerate(texts):
-        found = windows(t)
-        for k in range(0, len(found), BATCH):
-            part = found[k : k + BATCH]
-            of += [i] * len(part)
-            run += [PREAMBLE + w for w in part]
-            if len(run) >= BATCH:
-                yield of, run
-                of, run = [], []
-    if run:
-        yield of, run
+class _Pair:
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+
+    def saved(self, words: list[str]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each word."""
+        if not words:
+            return np.zeros(0)
+        run = [window(w) for w in words]
+        size = lambda c: np.fromiter(map(len, c.multi_compress_to_buffer(run, threads=1)), np.int64, len(run))
+        return np.clip(size(self.ordinary) - size(self.toxic), LEAST, MOST).astype(np.float64)
+
+
+def _mean_saving(pairs: list[_Pair], words: list[str]) -> np.ndarray:
+    """The mean over all pairs, where the first one saves ``ASKED`` bytes or more, else its own."""
+    out = pairs[0].saved(words)
+    asked = np.flatnonzero(out >= ASKED)
+    some = [words[i] for i in asked]
+    out[asked] = (out[asked] + sum(p.saved(some) for p in pairs[1:])) / len(pairs)
+    return out
+
+
+def _step(saved: np.ndarray) -> np.ndarray:
+    return np.round((saved - LEAST) * STEPS).astype(np.int64)
+
+
+@lru_cache(2)
+def _open(pairs: tuple[tuple[bytes, bytes], ...]) -> tuple[list[_Pair], dict[str, int]]:
+    """The compressors of a model and the steps of the words met so far, kept by a worker from task to task."""
+    return [_Pair(*p) for p in pairs], {}
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """The dictionaries, the evidence of each saving from ``LEAST`` to ``MOST`` bytes, and weights of the calibration."""
+    """The pairs of dictionaries, the evidence of each step of the saving, and weights of the calibration."""
 
-    toxic: bytes
-    ordinary: bytes
+    pairs: tuple[tuple[bytes, bytes], ...]
     evidence: tuple[float, ...]
     weights: tuple[float, ...]
 
-    def savings(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each window of the texts, some at a time, the place of its text and the bytes that the toxic dictionary saves."""
-        a, b = _compressor(self.toxic), _compressor(self.ordinary)
-        size = lambda c, run: np.fromiter(map(len, c.multi_compress_to_buffer(run, threads=1)), np.int64, len(run))
-        for of, run in _batches(texts):
-            yield np.array(of), np.clip(size(b, run) - size(a, run), LEAST, MOST)
+    def steps(self, words: list[str]) -> list[int]:
+        """The step of each word's mean saving."""
+        pairs, known = _open(self.pairs)
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        known.update(zip(new, _step(_mean_saving(pairs, new)).tolist(), strict=True))
+        return [known[w] for w in words]
 
     def score(self, texts) -> np.ndarray:
-        if not self.toxic:
+        if not self.pairs:
             return np.full(len(texts), sigmoid(self.weights[-1]))
-        found = _nothing(len(texts))
-        for of, saved in self.savings(texts):
-            _add(found, of, np.array(self.evidence)[saved - LEAST])
+        found, evidence = _nothing(len(texts)), np.array(self.evidence)
+        for of, words in _together(texts):
+            _add(found, of, evidence[self.steps(words)])
         return sigmoid(_features(found) @ np.array(self.weights[:-1]) + self.weights[-1])
 
 
+def _together(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of all texts with the place of their text, a bounded number at a time."""
+    of, words, size = [], [], 0
+    for i, t in enumerate(texts):
+        for piece in _pieces(t):
+            found = _words(piece)
+            of.append(np.full(len(found), i))
+            words += found
+            size += len(piece)
+            if size >= PIECE:
+                yield np.concatenate(of), words
+                of, words, size = [], [], 0
+    if words:
+        yield np.concatenate(of), words
+
+
 def _nothing(n: int) -> np.ndarray:
     """For each of ``n`` texts: windows, sum of evidence, sum of its squares, the best."""
     return np.zeros((4, n))
@@ -158,40 +218,44 @@ def _features(found: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log((total + 0.05) / (n + 4)), np.log((squares + 0.05) / (n + 4)), best, np.sqrt(squares), np.log1p(n)])
 
 
-def _evidence(saved: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _evidence(steps: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """For each threshold the log of how many times as often windows of toxic texts reach it, smoothed, never falling and not
     below zero."""
-    reach = [np.cumsum(np.bincount(saved[toxic == y] - LEAST, minlength=MOST - LEAST + 1)[::-1])[::-1] for y in (0, 1)]
+    reach = [np.cumsum(np.bincount(steps[toxic == y], minlength=(MOST - LEAST) * STEPS + 1)[::-1])[::-1] for y in (0, 1)]
     n = [max(int(r[0]), 1) for r in reach]
     rate = [(r + 2 * m / sum(n)) / m for r, m in zip(reach, n, strict=True)]
     return np.maximum(np.maximum.accumulate(np.log(rate[1] / rate[0])), 0)
 
 
 def fit(texts: list[str], toxic: np.ndarray, odds: float = 1.0) -> ToxicityModel:
-    """Two thirds of each class train the dictionaries, the rest calibrate: each half of it is scored with the evidence of the
-    other.  ``odds`` is how many times as often toxic texts were picked for the sample as ordinary ones.  Without toxic or
-    ordinary windows the score is a constant."""
-    toxic = np.asarray(toxic, np.int64)
-    constant = ToxicityModel(b"", b"", (), (float(np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 1.5))),))
-    rest = np.zeros(len(toxic), bool)
-    for y in (0, 1):
-        rest[np.flatnonzero(toxic == y)[::3]] = True
-    made = train_dictionaries([t for t, x in zip(texts, rest, strict=True) if not x], toxic[~rest])
-    held, y = [t for t, x in zip(texts, rest, strict=True) if x], toxic[rest]
-    parts = list(ToxicityModel(*made, (), ()).savings(held)) if made else []
-    if not parts:
+    """Every pair of dictionaries misses one fold of each class; the savings of the pairs that missed a text calibrate the
+    evidence and the score.  ``odds`` is how many times as often toxic texts were picked for the sample as ordinary ones.
+    Without toxic or ordinary words of their own the score is a constant."""
+    y = np.asarray(toxic, np.int64)
+    constant = ToxicityModel((), (), (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))),))
+    words, fold = [_words(t) for t in texts], np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    made = [train_dictionaries([w for w, f in zip(words, fold, strict=True) if f != k % FOLDS], y[fold != k % FOLDS], k) for k in range(PAIRS)]
+    if None in made:
         return constant
-    of, saved = (np.concatenate(x) for x in zip(*parts, strict=True))
-    half, x = np.zeros(len(held), np.int64), np.zeros((len(held), 5))
-    for k in (0, 1):
-        half[np.flatnonzero(y == k)[::2]] = 1
-    for h in (0, 1):
-        mine, found = half[of] == h, _nothing(len(held))
-        _add(found, of[mine], _evidence(saved[~mine], y[of[~mine]])[saved[mine] - LEAST])
-        x[half == h] = _features(found)[half == h]
+    of = np.repeat(np.arange(len(y)), [len(w) for w in words])
+    steps, flat = np.zeros(len(of), np.int64), [w for ws in words for w in ws]
+    for f in range(FOLDS):
+        mine = np.flatnonzero(fold[of] == f)
+        each = list(dict.fromkeys(flat[i] for i in mine))
+        known = dict(zip(each, _step(_mean_saving([_Pair(*made[k]) for k in range(PAIRS) if k % FOLDS == f], each)).tolist(), strict=True))
+        steps[mine] = [known[flat[i]] for i in mine]
+    evidence = _evidence(steps, y[of])
+    found = _nothing(len(y))
+    _add(found, of, evidence[steps])
+    x = _features(found)
     w = logistic(x, y, ridge=0.3)
-    w[-1] -= np.log(odds)
-    return ToxicityModel(*made, tuple(_evidence(saved, y[of]).tolist()), tuple(w.tolist()))
+    # a text is rejected from 0.5: the cut is moved to where that pays on the sample
+    said = x @ w[:-1]
+    cuts = [(np.mean(said[y == 1] >= (cut := np.quantile(said[y == 0], 1 - q, method="higher"))) - PRICE * q, -cut) for q in REFUSED]
+    w[-1] = max(w[-1] - np.log(odds), max(cuts)[1])
+    return ToxicityModel(tuple(made), tuple(evidence.tolist()), tuple(w.tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
@@ -203,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text in column ``name``, an existing one replaced.  Null and empty
     texts have no window and get the calibrated score of a text without any.  Equal texts have equal scores; a very long one
-    is compressed some windows at a time; an empty table gives an empty result."""
+    is read some words at a time; an empty table gives an empty result."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:

@@ -80,9 +80,9 @@ def test_toxic_dictionary_saves_bytes_on_toxic_windows():
     train = labelled("toxic", 400, 1)
     model = toxicity.fit([t for t, _ in train], np.array([y for _, y in train]))
     rng = random.Random(9)
-    texts = [prose(rng, 5) for _ in range(200)]
-    saved = lambda ts: np.concatenate([s for _, s in model.savings(ts)])
-    plain, toxic = saved(texts), saved([f"{t} {rng.choice(INSULTS)}" for t in texts])
+    pairs = [toxicity._Pair(*p) for p in model.pairs]
+    saved = lambda words: np.mean([p.saved(words) for p in pairs], axis=0)
+    plain, toxic = saved(toxicity._words(" ".join(prose(rng, 5) for _ in range(200)))), saved(list(INSULTS))
     assert toxic.mean() > plain.mean() + 5 and abs(plain.mean()) < 2
 
 
