@@ -6,8 +6,8 @@ one saves is its evidence.  What savings of at least so many bytes are worth is
 dictionaries haven't seen: how much more often windows of toxic texts reach each threshold than those of ordinary ones.  A
 document's score is a calibrated function of the sum and the best of its windows' evidence.
 
-A window is a word, written with its growing beginnings before it (``tr tra tras trash``): a word that a dictionary knows, or
-whose beginning it knows, is then one long match, another one many short ones, and the difference is several bytes.  Runs of
+A window is a word, written with its growing beginnings before it (``tr tra tras trash``), and with all its later
+parts if it is long: a word that a dictionary knows, or whose beginning or part it knows, is then one long match, another one many short ones, and the difference is several bytes.  Runs of
 more than ``RUN`` characters are several windows that overlap.  All dictionaries and windows share a preamble, so a window is never
 stored uncompressed, and both dictionaries of a pair begin with the same ordinary words, so what both know costs the same.
 The trainer keeps what is frequent in its samples; several trainings on parts of them keep what is frequent in some texts
@@ -36,9 +36,9 @@ from .training import logistic, sample, sigmoid
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 20_000
-#: Lengths of a word's beginnings in bytes; characters of the pieces of a longer run, and how many they share; marks that don't
+#: Lengths of a word's beginnings in bytes, and of the parts of one of more than ``LONG`` bytes; characters of the pieces of a longer run, and how many they share; marks that don't
 #: belong to a word at its ends.
-BEGINNINGS, RUN, SHARED, EDGES = range(2, 10), 24, 8, ".,;:!?\"'()"
+BEGINNINGS, PART, LONG, RUN, SHARED, EDGES = range(2, 10), 4, 11, 24, 8, ".,;:!?\"'()"
 #: Pairs of dictionaries, and folds of the sample of which each pair misses one.
 PAIRS, FOLDS = 6, 3
 #: Bytes of a trained dictionary, trainings on parts of the samples, bytes of ordinary words before them, words in a training
@@ -75,7 +75,8 @@ def _pieces(text: str | None) -> Iterator[str]:
 
 def _grown(word: str) -> bytes:
     w = word.encode()
-    return b"".join(b" " + w[:n] for n in BEGINNINGS if n < len(w)) + b" " + w
+    rest = [w[i : i + PART] for i in range(PART, len(w) - PART + 1)] if len(w) > LONG else []
+    return b"".join(b" " + x for x in [*(w[:n] for n in BEGINNINGS if n < len(w)), *rest, w])
 
 
 def window(word: str) -> bytes:
