@@ -52,9 +52,17 @@ _BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner b
 _COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: Parts of names that say that something is absent or switched (fixed values).
 _STATES = frozenset("no not without open closed enabled disabled off on".split())
+#: Parts of names that say that an element is a box for something (fixed values).
+_BOXES = frozenset("area articles bar block bottom box button buttons container content form group inline inner item items left links list outer panel posts right row section slot top unit wrap wrapper".split())
 _SPACE = re.compile(r"[\s ]+")
+_HIDDEN, _QUOTED = re.compile(r"(?<![^\s\"/])hidden(?![^\s=/])"), re.compile(r"\"[^\"]*+\"|'[^']*+'")
+_NONE = re.compile(r"""(?<![^\s"'/])style\s*+=\s*+(?:"[^"]*?|'[^']*?)display\s*+:\s*+none""", re.I)
+#: Ends of sentences in any script.
+_SENTENCE = re.compile(r"[.!?…](?=\s|\Z)|[。！？｡।؟۔։።]")
 
 SHORT, LONG, LINKS, FEW, MANY = 70, 200, 0.33, 0.15, 0.25
+#: Share of stop words below which a page's language is taken for unknown; characters of a sentence at most, on average.
+UNKNOWN, SENTENCE = 0.06, 300
 
 
 class Tags:
@@ -103,8 +111,9 @@ class Tags:
         return None
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(marked as something other than main text, marked as comments)"""
+def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """(marked as something other than main text, marked as comments); ``inside`` an article a name with another word in it
+    (``related-work``, ``ad-hoc-methods``) is no mark, only one for a box of such things."""
     if tag in ("html", "body", "main"):
         return False, False
     marked = tag in _MARKED_TAGS
@@ -115,10 +124,17 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
                 continue
             if not _COMMENTS.isdisjoint(parts):
                 return marked, True
-            marked |= tag != "article" and not _BAD_NAMES.isdisjoint(parts)
+            named = not _BAD_NAMES.isdisjoint(parts) and (not inside or all(x in _BAD_NAMES or x in _BOXES or x.isdigit() or not x for x in parts))
+            marked |= tag != "article" and named
     return marked, False
 
 
+def _is_hidden(attributes: str) -> bool:
+    """Do attributes say that an element isn't shown?"""
+    low = attributes.lower()
+    return ("hidden" in low and bool(_HIDDEN.search(_QUOTED.sub('""', low)))) or ("none" in low and bool(_NONE.search(low)))
+
+
 class _Page:
     """Blocks of a page while its tags are read."""
 
@@ -159,8 +175,8 @@ class _Page:
         self.skipped += 1
 
     def push(self, tag: str, attributes: str) -> None:
-        marked, comments = _marks(tag, attributes)
-        bad = int(tag in _BAD_TAGS or comments or (tag == "header" and not self.inside))
+        marked, comments = _marks(tag, attributes, self.inside > 0)
+        bad = int(tag in _BAD_TAGS or comments or (bool(attributes) and tag not in ("html", "body") and _is_hidden(attributes)) or (tag == "header" and not self.inside))
         inside = int(tag in ("article", "main") and not bad)
         self.open.append((tag, bad, inside, 0, self.mark))
         self.names[tag] += 1
@@ -179,7 +195,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters in links, in a part that isn't main text, in an article or main part, heading) by block."""
     page = page or ""
     p, at, tags = _Page(), 0, Tags(page)
-    left = Counter(t for t in (m[1].lower() for m in _CLOSING.finditer(page)) if t in _SKIPPED)
+    left = Counter(t for t in (m[1].lower() for m in _CLOSING.finditer(page)) if t in _SKIPPED or t in _BAD_TAGS)
     missing: set[str] = set()
     while found := tags.after(at):
         start, end, closing, tag, attributes = found
@@ -208,6 +224,13 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
         elif tag == "a":
             p.links = not closing
         elif tag in _BLOCK:
+            if closing and tag in _BAD_TAGS:
+                left[tag] -= 1
+            if not closing and tag in ("article", "main", "h1"):
+                for t in _BAD_TAGS:  # an element that nothing ends ends here
+                    if p.names[t] and left[t] <= 0:
+                        p.end()
+                        p.close(t)
             if not closing and tag in _NOT_SKIPPED:
                 while p.skipped:
                     p.pop()
@@ -239,13 +262,22 @@ def _density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _is_prose(text: str, linked: int) -> bool:
+def _is_prose(text: str, linked: int, foreign: bool = False) -> bool:
+    """Is it prose by its length, links and stop words, or, in a language without known ones, by its sentences?"""
     if len(text) < SHORT or linked > LINKS * len(text):
         return False
+    if foreign:
+        return (n := len(_SENTENCE.findall(text))) > 0 and len(text) <= SENTENCE * n
     density = _density(text)
     return density >= MANY or (density >= FEW and len(text) > LONG)
 
 
+def _foreign(texts: list[tuple[str, int]]) -> bool:
+    """Have the longer texts of a page (with characters in links) hardly any known stop word?"""
+    long = [t for t, linked in texts if len(t) >= SHORT and linked <= LINKS * len(t)]
+    return bool(long) and _density(" ".join(long)) < UNKNOWN
+
+
 def _believed(p: _Page) -> list[bool]:
     """For each mark: is it, or one around it, believed?  Not if it holds most of what the page has in articles, or, without
     articles, most of its dense text."""
@@ -256,8 +288,9 @@ def _believed(p: _Page) -> list[bool]:
     for text, _, bad, mark, inside, _ in p.blocks:
         held[mark] += len(text) if inside and not bad else 0
     articles = any(held)
+    foreign = _foreign([(b[0], b[1]) for b in p.blocks if not b[2]])
     for text, linked, bad, mark, _, _ in p.blocks:
-        if not (articles or bad) and _is_prose(text, linked):
+        if not (articles or bad) and _is_prose(text, linked, foreign):
             dense[mark] += len(text)
     for mark in range(n - 1, 0, -1):
         held[p.marks[mark]] += held[mark]
@@ -272,14 +305,17 @@ def _believed(p: _Page) -> list[bool]:
 def classify(page: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """Is each block main text?"""
     labels: list[bool | None] = []
+    foreign = _foreign([(b[0], b[1]) for b in page if not b[2]])
     for text, linked, bad, inside, heading in page:
-        if bad or linked > LINKS * len(text):
+        if inside and not bad and LINKS * len(text) < linked < len(text) - 4 and _SENTENCE.search(text[-1]):
+            labels.append(None)  # "See this page."
+        elif bad or linked > LINKS * len(text):
             labels.append(False)
         elif heading or len(text) < SHORT:
             labels.append(None)
-        elif inside or _is_prose(text, linked):
+        elif inside or _is_prose(text, linked, foreign):
             labels.append(True)
-        elif linked and _density(text) < FEW:
+        elif linked and (foreign or _density(text) < FEW):
             labels.append(False)
         else:
             labels.append(None)
@@ -300,6 +336,8 @@ def classify(page: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
             near.sort(key=lambda k: (abs(k - i), -k))
             if not near:
                 label = inside
+            elif inside and not page[i][2] and not page[i][4] and _SENTENCE.search(page[i][0][-1]):
+                label = any(labels[k] for k in near)  # a sentence of an article that has prose beside it
             elif len(near) == 2 and abs(near[0] - i) == abs(near[1] - i):
                 label = bool(labels[near[0]]) or bool(labels[near[1]])
             else:

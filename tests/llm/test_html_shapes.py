@@ -75,3 +75,38 @@ def test_a_megabyte_of_bad_markup_takes_seconds(name):
         began = time.process_time()
         assert isinstance(html_text.main_text(page), str)
         assert time.process_time() - began < 6
+
+
+PROSE = "<p>" + "The text of the article is long and it has many words. " * 6 + "</p>"
+RUSSIAN = "<p>Это длинный абзац русского текста, который рассказывает о разных вещах. Он состоит из нескольких предложений, и каждое из них заканчивается точкой. Читатель легко поймет смысл.</p>"
+CHINESE = "<p>" + "这是一个很长的中文段落，里面有许多句子。" * 10 + "</p>"
+
+
+def test_any_language_is_read():
+    menu = "<div class=nav><a href=x>Главная</a></div>"
+    assert html_text.main_text(f"<body>{menu}<div>{RUSSIAN}{RUSSIAN}</div><div><a href=y>Ещё</a></div></body>").count("длинный абзац") == 2
+    assert len(html_text.main_text(f"<body><div>{CHINESE}</div></body>")) == 200
+
+
+def test_sections_of_an_article_stay_whatever_their_names():
+    kept = "".join(f"<section {a}><p>Part {i} is kept.</p></section>" for i, a in enumerate(['id="related-work"', 'id="ad-hoc-methods"', 'class="social-history"', 'class="menu-of-the-day"']))
+    gone = "".join(f"<div class='{c}'><p>Buy now.</p></div>" for c in ("ad-slot", "ad", "related-posts", "newsletter"))
+    text = html_text.main_text(f"<article>{PROSE}{kept}{gone}{PROSE}</article>")
+    assert all(f"Part {i} is kept." in text for i in range(4)) and "Buy" not in text
+
+
+def test_what_is_not_shown_is_left_out():
+    text = html_text.main_text(f"<article>{PROSE}<div hidden><p>Secret one.</p></div><div style='color: red; display:none'><p>Secret two.</p></div><div data-x='hidden'><p>It is shown.</p></div></article>")
+    assert "Secret" not in text and "It is shown." in text
+
+
+def test_menus_without_an_end_stop_at_the_article():
+    for tag in ("nav", "aside"):
+        text = html_text.main_text(f"<body><{tag}><a href=x>Home</a><ul><li>x</ul><article><h1>T</h1>{PROSE}</article></body>")
+        assert text.startswith("T\n\nThe text of the article")
+        assert html_text.main_text(f"<body><{tag}><h1>Menu</h1>{PROSE}</{tag}><p>x</p></body>") == ""
+
+
+def test_sentences_beside_links_stay_in_an_article():
+    text = html_text.main_text(f"<article>{PROSE}<p>See <a href=x>the other long page about it</a>.</p><p>The end.</p></article>")
+    assert text.endswith("See the other long page about it.\n\nThe end.")
