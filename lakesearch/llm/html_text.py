@@ -319,14 +319,16 @@ def classify(page: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
             labels.append(False)
         else:
             labels.append(None)
+    # what doesn't belong to an article it stands in (an advert, a hidden part) says nothing about its neighbours there
+    says = [label is not None and not (b[2] and b[3]) for label, b in zip(labels, page, strict=True)]
     before, after, last = [], [None] * len(labels), None
-    for i, label in enumerate(labels):
+    for i in range(len(labels)):
         before.append(last)
-        last = i if label is not None else last
+        last = i if says[i] else last
     last = None
     for i in range(len(labels) - 1, -1, -1):
         after[i] = last
-        last = i if labels[i] is not None else last
+        last = i if says[i] else last
     out = []
     for i, label in enumerate(labels):
         if label is None:
