@@ -106,7 +106,7 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure_repair.digests(structure_repair.repair(damaged(_table(spark, sf_dir, "conversations"))))
+    return structure_repair.digests(structure_repair.repair(damaged(_table(spark, sf_dir, "conversations")), gone="gone"))
 
 
 def queries() -> dict:

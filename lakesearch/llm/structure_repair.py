@@ -190,17 +190,17 @@ class _Out:
         return out
 
 
-def repair(turns: DataFrame, held_rows: int = HELD_ROWS, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """The repaired conversations of ``turns`` (conv_id, turn, role, text and perhaps ``gone``; more columns are left alone):
+def repair(turns: DataFrame, held_rows: int = HELD_ROWS, held_bytes: int = HELD_BYTES, gone: str | None = None) -> DataFrame:
+    """The repaired conversations of ``turns`` (conv_id, turn, role, text; more columns, whatever their names, are left alone):
     ``conv_id``, ``block``, ``audit`` (letters of the edits, K R D I), ``turns`` (array of role and text) and, in a
     conversation's last block, ``gaps``, ``blank``, ``duplicate``, ``truncated``, ``illegal`` and ``cost``, else null.
 
     A conversation is one row (``finished``) unless it is larger than a block.  Rows are in order of turn (null first), then
     role, then text; null roles and texts are empty, rows with a null ``conv_id`` are one conversation.  Of repeated rows the
-    first stays.  A row that is ``gone`` counts for nothing, but its conversation is in the result: with zeros and no turns if
+    first stays.  A row whose column ``gone`` (a name, if given) is true counts for nothing, but its conversation is in the result: with zeros and no turns if
     nothing else is left.  An empty table gives an empty result.  Of edits with equal costs the ASCII-least string is taken."""
-    gone = F.coalesce("gone", F.lit(False)) if "gone" in turns.columns else F.lit(False)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), gone.alias("gone"))
+    left_out = F.coalesce(gone, F.lit(False)) if gone else F.lit(False)
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), left_out.alias("gone"))
     rows = rows.withColumns({"h1": F.xxhash64("conv_id", "role", "text"), "h2": F.xxhash64(F.lit(1), "text", "role", "conv_id"), "at": F.struct(F.col("turn").isNotNull(), "turn")})
     # what stands at several turns; equal rows of one turn are neighbours in the stream
     again = rows.filter("not gone").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")

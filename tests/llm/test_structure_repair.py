@@ -67,8 +67,8 @@ def chat(conv_id, n, seed):
 def test_spilled_conversations_end_as_others(spark, held):
     rows = [r for c in range(12) for r in chat(c, 5 * c, c)]
     turns = spark.createDataFrame(rows, SCHEMA)
-    whole = sr.digests(sr.repair(turns)).toPandas().sort_values("conv_id").reset_index(drop=True)
-    parts = sr.repair(turns, *held)
+    whole = sr.digests(sr.repair(turns, gone="gone")).toPandas().sort_values("conv_id").reset_index(drop=True)
+    parts = sr.repair(turns, *held, gone="gone")
     assert parts.filter("block > 0").count() > 3
     got = sr.digests(parts).toPandas().sort_values("conv_id").reset_index(drop=True)
     assert got.equals(whole)
@@ -81,7 +81,7 @@ def test_edge_cases(spark):
         (None, 5, "user", "A.", False, "x"), (None, 5, "user", "A.", False, "x"), (None, 9, "assistant", "B" * 100_000 + "!", False, "x"),
         (3, 1, "user", "Same.", False, "x"), (3, 1, "assistant", "Tied.", False, "x"), (3, 2, "user", "Same.", False, "x"), (3, 7, "assistant", "open", False, "x"),
     ]
-    found = {r.conv_id: r for r in sr.digests(sr.repair(spark.createDataFrame(rows, SCHEMA))).collect()}
+    found = {r.conv_id: r for r in sr.digests(sr.repair(spark.createDataFrame(rows, SCHEMA), gone="gone")).collect()}
     assert set(found) == {1, 2, None, 3}
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert found[2].asDict() == {"conv_id": 2, "gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": digest("")}
@@ -90,4 +90,6 @@ def test_edge_cases(spark):
     assert found[None].repaired_sha256 == digest("user:A.\nassistant:" + "B" * 100_000 + "!")
     # assistant before user at turn 1, then the repeated text, then a truncated end
     assert (found[3].audit, found[3].duplicate, found[3].truncated, found[3].gaps, found[3].illegal) == ("RRDD", 1, 1, 4, 1)
-    assert not sr.digests(sr.repair(spark.createDataFrame([], SCHEMA))).collect()
+    assert not sr.digests(sr.repair(spark.createDataFrame([], SCHEMA), gone="gone")).collect()
+    odd = spark.createDataFrame([(1, 0, "user", "A.", "no", 5), (1, 1, "assistant", "B.", "no", 5)], "conv_id long, turn long, role string, text string, gone string, h1 int")
+    assert sr.digests(sr.repair(odd)).first().audit == "KK"
