@@ -27,3 +27,16 @@ def test_short_item_after_a_word_and_template_alone(spark):
     got = pairs(spark, docs, [(1, item), (2, long)])
     assert {d for d, i in got if i == 1} >= set(range(1, 9))
     assert (50, 2) not in got and not any(i == 2 for _, i in got)
+
+
+def test_small_pages_and_other_joins_change_nothing(spark, monkeypatch):
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    docs = [(k, " ".join(["some"] * k + [item] + ["more"] * 7)) for k in (0, 1, 4, 5, 6, 11)]
+    docs += [(20, "another text"), (20, item), (21, item[9:] + " " + item[:-9]), (22, item), (22, item)]
+    want = pairs(spark, docs, [(1, item), (1, "a second text of one item that is longer than a window"), (2, item)])
+    assert {(20, 1), (21, 2), (22, 1)} <= set(want)
+    monkeypatch.setattr(decontaminate, "PAGE", 5)
+    for small, known in ((500_000, 0), (0, 500_000), (0, 0)):
+        monkeypatch.setattr(decontaminate, "SMALL", small)
+        monkeypatch.setattr(decontaminate, "KNOWN", known)
+        assert pairs(spark, docs, [(1, item), (1, "a second text of one item that is longer than a window"), (2, item)]) == want
