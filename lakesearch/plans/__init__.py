@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import base_title, chunk_id, document_id, file_ext, format_of, metadata_matches, relevance, trim_all
 from ..operators import chunking, evaluate, extract, keyword, ranking, sync
+from ..operators.results import ModelResults, contextualize_once, embed_once
 from ..sources import written
 from .index import Index
 
@@ -101,15 +102,19 @@ def extract_blocks(docs: DataFrame) -> DataFrame:
     return markdown.unionByName(extract.whole_file_block(kind.filter("format <> 'markdown'")))
 
 
-def index_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int, contextualizer=None, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP) -> tuple[DataFrame, DataFrame]:
+def index_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int, contextualizer=None, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP, embeddings: ModelResults | None = None, contexts: ModelResults | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, vectors) of ``docs`` (doc_id, rel_path, title, text).
 
     Both are tables in the shared folder: documents are read and cut once, a chunk's context is made once and is the one that
-    is embedded, and each text goes to the model once."""
+    is embedded.  With ``embeddings`` or ``contexts`` the models are asked only for what isn't stored there."""
     chunks = chunking.chunk_blocks(extract_blocks(docs), max_tokens, overlap)
-    chunks = chunking.contextualize_chunks(chunks, docs, contextualizer) if contextualizer else chunks.withColumn("context", F.lit(""))
+    if contextualizer and contexts:
+        chunks = contextualize_once(written(chunks, "cut"), docs, contextualizer, contexts)
+    else:
+        chunks = chunking.contextualize_chunks(chunks, docs, contextualizer) if contextualizer else chunks.withColumn("context", F.lit(""))
     chunks = written(chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("seq"))), "chunks")
-    made = chunking.embed_texts(chunking.with_embedding_text(chunks), embed, dim)
+    texts = chunking.with_embedding_text(chunks)
+    made = embed_once(texts, embed, dim, embeddings) if embeddings else chunking.embed_texts(texts, embed, dim)
     return chunks, written(ranking.read_embeddings(made.select("chunk_id", "embedding"), dim), "vectors")
 
 

@@ -15,6 +15,7 @@ from . import bindings as b
 from . import functions as fn
 from . import plans
 from .operators import chunking, evaluate, extract, keyword, ranking, sync
+from .operators.results import ModelResults, embed_once
 from .sources import contents, golden_queries, listed, shared_dir
 from .streaming import EVENTS, Ledger, debounce_paths, initial_then_live, managed_write_stream, poll_source, resync_on_fire, watch_event_counts, watch_source
 
@@ -258,6 +259,16 @@ def B17_embed_texts(spark, d):
     return out.select("doc_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
 
 
+@query("SELECT doc_id, length(text)::DOUBLE AS size, CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'de') THEN 1.0::DOUBLE ELSE 2 END AS run FROM documents")
+def B17_embed_once(spark, d):
+    """Two runs that share their results; the second component says which of them asked the model."""
+    results = ModelResults(_path(spark, "results"), "sizes", "array<float>")
+    docs = b.docs(spark, d)
+    for run, rows in (1, docs.filter(F.col("rel_path").startswith("de/"))), (2, docs):
+        out = embed_once(rows, lambda texts, run=run: [[len(t), run] for t in texts], 2, results, "text")
+    return out.select("doc_id", F.col("embedding")[0].cast("double").alias("size"), F.col("embedding")[1].cast("double").alias("run"))
+
+
 @query("SELECT doc_id, sha256(text) AS content_sha256 FROM documents")
 def B18_content_hash(spark, d):
     return b.docs(spark, d).select("doc_id", fn.content_hash(F.col("text")).alias("content_sha256"))
