@@ -1,8 +1,8 @@
 """Chat formatting from event logs, in DataFrame functions only.
 
 A log has one row for each event of a message: a delta appends text, an edit or a regeneration replaces what came before.
-Events are dealt by conversation and put in the order of their sequence numbers; folding them gives the final messages,
-which are rendered with a template that marks turns.  Control strings inside texts are escaped with a backslash after
+A message's events are put in the order of their sequence numbers; folding them gives the final messages, of which
+conversations are made, rendered with a template that marks turns.  Control strings inside texts are escaped with a backslash after
 their first character, and backslashes are doubled, so every text can be read back unchanged.
 """
 
@@ -42,8 +42,8 @@ def final_messages(events: DataFrame) -> DataFrame:
     append, events with a null turn are one message, placed first.  Events with equal numbers are ordered by kind, then
     text."""
     event = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    # dealt by conversation once: both groupings, this one and that of ``render``, keep to it
-    folded = events.repartition("conv_id").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    # a log that isn't dealt by conversation already is dealt by message: a long conversation meets only when it is folded
+    folded = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e.kind.isin(*REPLACING), i).otherwise(0)))
     kept = F.slice("log", last + 1, F.size("log"))
     role = F.try_element_at(F.filter("log", lambda e: e.role.isNotNull()), F.lit(-1)).role
