@@ -36,13 +36,13 @@ def candidates(queries: DataFrame, index: Index, prefilter: bool = False) -> tup
     if index.by_kb != ("kb" in queries.columns):
         raise ValueError("queries and index must both have a column kb, or neither")
     by = "kb" if index.by_kb else None
-    scores = keyword.bm25(queries, index.postings, index.lengths, index.stats, index.terms)
+    tables = index.postings, index.lengths, index.stats, index.terms
     if not prefilter:
-        return ranking.ranked(scores, "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(queries, index.vectors, by=by)
+        return ranking.ranked(keyword.best(queries, *tables, ranking.CANDIDATES), "bm25", "fts_rank", ranking.CANDIDATES), ranking.knn_cosine(queries, index.vectors, by=by)
     as_text = F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("filter")))), F.lit("{}"))
     asked = queries.withColumn("seen", F.concat_ws(keyword.KB_END, *([by] if by else []), as_text))
     allowed = visible(asked.select("seen", "filter", *([by] if by else [])).dropDuplicates(["seen"]), index)
-    words = scores.join(asked.select("query_id", "seen"), "query_id").join(allowed, ["seen", "chunk_id"])
+    words = keyword.bm25(queries, *tables).join(asked.select("query_id", "seen"), "query_id").join(allowed, ["seen", "chunk_id"])
     words = ranking.ranked(words.select("query_id", "chunk_id", "bm25"), "bm25", "fts_rank", ranking.CANDIDATES)
     return words, ranking.knn_cosine(asked, index.vectors.join(allowed, "chunk_id"), by="seen")
 

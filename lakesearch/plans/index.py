@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyword
+from ..sources import written
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -40,6 +41,8 @@ class Index:
         if self.by_kb and (postings is None or lengths is None or "kb" not in vectors.columns):
             rows = chunks.join(docs.select("doc_id", "kb"), "doc_id")
         self.vectors = vectors if not self.by_kb or "kb" in vectors.columns else vectors.join(rows.select("chunk_id", "kb"), "chunk_id")
+        #: What both are made of; kept only if neither was given.
+        self.tokens = keyword.tokens(rows) if postings is None and lengths is None else None
         self.postings = keyword.postings(rows) if postings is None else postings
         self.lengths = keyword.chunk_lengths(rows) if lengths is None else lengths
 
@@ -99,13 +102,17 @@ def _segments(spark: SparkSession, path: str) -> list:
 def _add_segment(spark: SparkSession, path: str, seq: int, new: Index, old: Index | None, gone: DataFrame | None, whole: bool, tag: str | None = None) -> None:
     name = f"segment-{seq:06d}-{uuid.uuid4().hex[:8]}"
     at = f"{path}/{name}"
+    postings, common, made = new.postings, None, {t: getattr(new, t) for t in Index.TABLES}
+    if new.tokens is not None:  # texts are tokenised once
+        tokens = written(new.tokens, "tokens")
+        postings, common, made["lengths"] = keyword.postings_of(tokens), keyword.common_terms(tokens), keyword.lengths_of(tokens)
     for t in Index.TABLES:
-        getattr(new, t).write.parquet(f"{at}/{t}")
+        made[t].write.parquet(f"{at}/{t}")
     if gone is not None:
         gone.write.parquet(f"{at}/gone")
     lengths = spark.read.parquet(f"{at}/lengths")
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
-    keyword.store(new.postings.drop("h", "bucket"), f"{at}/postings", n_tokens)
+    keyword.store(postings.drop("h", "bucket"), f"{at}/postings", n_tokens, common)
     terms = keyword.term_counts(keyword.stored(spark, f"{at}/postings", lengths.schema["chunk_id"].dataType.simpleString()))
     sums = keyword.length_sums(lengths)
     if old is not None:

@@ -511,7 +511,7 @@ def E12_needs_sigmoid(spark, d):
 
 def _keyword(spark, d):
     i = b.index(spark, d)
-    return ranking.ranked(keyword.bm25(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms), "bm25", "fts_rank", ranking.CANDIDATES)
+    return ranking.ranked(keyword.best(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms, ranking.CANDIDATES), "bm25", "fts_rank", ranking.CANDIDATES)
 
 
 def _vector(spark, d):
@@ -909,7 +909,7 @@ def L04_search_after_sync(spark, d):
     base = b.old_base(spark, d, **whole)
     old = plans.Index(base.docs.select("doc_id", "source_name", "rel_path", "title"), base.chunks, base.vectors).write(_path(spark, "synced"))
     new, _, _ = plans.sync_index(b.listing(spark, d), old, base.manifest, b.contents_of(spark, d), b.lengths_embedder, 2, **whole)
-    hits = lambda i: ranking.ranked(keyword.bm25(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms), "bm25", "fts_rank", ranking.CANDIDATES)
+    hits = lambda i: ranking.ranked(keyword.best(b.queries(spark, d), i.postings, i.lengths, i.stats, i.terms, ranking.CANDIDATES), "bm25", "fts_rank", ranking.CANDIDATES)
     both = hits(new).join(hits(new.merged()).select("query_id", "chunk_id", F.col("fts_rank").alias("merged_rank")), ["query_id", "chunk_id"], "full_outer").filter("fts_rank <=> merged_rank")
     found = both.join(new.chunks.select("chunk_id", "doc_id"), "chunk_id").join(new.docs.select("doc_id", "rel_path"), "doc_id")
     return found.select("query_id", "fts_rank", "rel_path", F.round("bm25", 6).alias("bm25"))
