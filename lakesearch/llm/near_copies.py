@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash, checked by the Jaccard similarity of word shingles.
 
-Texts with the same set of shingles are one unit.  ``BANDS`` bands of ``ROWS`` min-hashes each put units into buckets; a
+Texts with the same set of shingles are one unit.  Units whose fingerprints are linked in the Gray-order index of ``simhash``
+are compared first, shingle by shingle, and those that are similar enough are joined.  Near copies whose fingerprints differ
+in more bits are then looked for among min-hashes: ``BANDS`` bands of ``ROWS`` min-hashes each put units into buckets; a
 pair of similarity ``s`` shares no bucket with probability ``(1 - s ** ROWS) ** BANDS``, 4e-5 at 0.8.  (Fingerprints of such
-pairs differ in up to 15 of 64 bits; at that width the Gray-order index of ``simhash`` prunes next to nothing.)  Each unit
+pairs differ in up to 15 of 64 bits; at that width the Gray-order index prunes next to nothing.)  Each unit
 carries its number of shingles and the parity of its shingles over ``PARITY`` bits: two parities never differ in more places
 than the sets do, so this test drops no pair that is similar enough.  What is left is compared shingle by shingle.  The
 first round lists one pair for each two groups that it joins, so a large group of near copies never has its pairs listed;
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import _LOWER, _link, components
+from .simhash import _LOWER, _link, components, fingerprint, linked
 from .store import fresh, written
 from .words import mix
 
@@ -101,6 +103,16 @@ def candidates(units: DataFrame, similarity: float, every: bool, group: int = GR
     return written(found.distinct(), "candidates")
 
 
+def print_pairs(units: DataFrame, bits: int = 4) -> DataFrame:
+    """Pairs (u, v) of keys of ``units`` (key, fp) that connect units with one fingerprint and, through the Gray-order index, those
+    whose fingerprints are linked at ``bits`` or fewer differences."""
+    named = written(units.groupBy("fp").agg(F.min("key").alias("key")), "prints")
+    same = units.select("key", "fp").join(named.select("fp", F.col("key").alias("first")), "fp").filter("key <> first").select("key", "first")
+    at = lambda c: named.select(F.col("fp").alias(c), F.col("key").alias(f"{c}_key"))
+    near = linked(named.select("fp"), bits).distinct().join(at("u"), "u").join(at("v"), "v").select(F.col("u_key").alias("key"), F.col("v_key").alias("first"))
+    return same.union(near).select(F.least("key", "first").alias("u"), F.greatest("key", "first").alias("v")).filter("u <> v").distinct()
+
+
 def verified(asked: DataFrame, units: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of ``asked`` whose texts are at least so similar; ``texts`` has a text for each ``t`` of ``units``."""
     needed = asked.select(F.col("u").alias("key")).union(asked.select("v")).distinct().join(units.select("key", "t"), "key")
@@ -117,23 +129,26 @@ def verified(asked: DataFrame, units: DataFrame, texts: DataFrame, shingle: int,
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id`` and ``component_id``, the smallest id reachable over pairs of texts with a
-    Jaccard similarity of ``similarity`` or more that share a bucket.
+    Jaccard similarity of ``similarity`` or more that linked fingerprints or a shared bucket name.
 
     Texts without words are equal to each other.  Null ids never name a component; one that has no other id is null."""
 
-    @F.pandas_udf("key long, n long, parity binary, bands array<long>")
+    @F.pandas_udf("key long, n long, parity binary, bands array<long>, fp long")
     def features(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_features(t, shingle) for t in texts], columns=["key", "n", "parity", "bands"])
+        made = pd.DataFrame([_features(t, shingle) for t in texts], columns=["key", "n", "parity", "bands"])
+        prints = np.array([fingerprint(None if t is None else t.encode()) for t in texts], np.uint64)
+        return made.assign(fp=prints.view(np.int64))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     prints = written(rows.withColumn("x", features("text")).select("doc_id", "t", "x.*"), "features")
-    units = written(prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("bands").alias("bands")), "units")
-    links = verified(candidates(units.withColumn("label", F.col("key")), similarity, False), units, rows, shingle, similarity)
+    units = written(prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("bands").alias("bands"), F.min("fp").alias("fp")), "units")
 
     def rooted(links: DataFrame) -> DataFrame:
         roots = components(links)
         return units.join(roots, units.key == roots.node, "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
 
+    seeds = verified(print_pairs(units), units, rows, shingle, similarity)
+    links = seeds.union(verified(candidates(rooted(seeds), similarity, False), units, rows, shingle, similarity))
     rest = verified(candidates(rooted(links), similarity, True), units, rows, shingle, similarity)
     labels = written(rooted(links.union(rest)).select("key", "low", "label"), "labels")
     named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("key", "component_id")
