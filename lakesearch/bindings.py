@@ -324,10 +324,10 @@ def _split(source: str, limit: int, overlap: int) -> dict[str, str]:
     }
 
 
-def sql(query: str, blocks: tuple[str, int, int] | None = None) -> str:
+def sql(query: str, blocks: tuple[str, int, int] | None = None, instead: dict[str, str] | None = None) -> str:
     """``query`` with the expressions that it names, directly or through others.  ``blocks`` (name, limit, overlap) adds
-    those of ``_split``."""
-    known = SQL | (_split(*blocks) if blocks else {})
+    those of ``_split``; those of ``instead`` replace others and come first."""
+    known = {**(instead or {}), **{n: x for n, x in SQL.items() if n not in (instead or {})}, **(_split(*blocks) if blocks else {})}
     needed: set[str] = set()
 
     def need(text: str) -> None:

@@ -928,14 +928,23 @@ def L05_sync_paths(spark, d):
     return _synced(plans.sync_paths(b.dirty(spark, d), b.listing(spark, d), b.old_base(spark, d), b.contents_of(spark, d), b.lengths_embedder, 2)[0])
 
 
-@query(f"""SELECT kb, rel_path, title, CAST(strlen(content) AS BIGINT) AS size_bytes, {b._trim('content')} AS text FROM mg WHERE kb <> 'frozen' AND NOT {_BLANK}
-  UNION ALL SELECT kb, rel_path, title, 8, 'old text' FROM mg WHERE kb = 'notes' AND key LIKE '%-0' AND {_BLANK}""")
+def _sql_stored():
+    """The writes as markdown, cut as every document is; of a text that takes several chunks the first one is shown."""
+    writes = {"wr": b.SQL["wr"], "mg": b.SQL["mg"], "md": f"SELECT key AS doc_id, content AS text FROM mg WHERE kb <> 'frozen' AND NOT {_BLANK}"}
+    return b.sql(f"""SELECT m.kb, m.rel_path, m.title, CAST(strlen(m.content) AS BIGINT) AS size_bytes, c.text FROM mg m JOIN ck c ON c.doc_id = m.key WHERE c.seq = 0
+  UNION ALL SELECT kb, rel_path, title, 8, 'old text' FROM mg WHERE kb = 'notes' AND key LIKE '%-0' AND {_BLANK}""", ("md_blocks", 512, 64), writes)
+
+
 def L06_store_documents(spark, d):
+    """Each stored document with its first chunk."""
     base, _ = plans.store_documents(b.writes(spark, d), _kbs(spark, d), b.managed_base(spark, d), b.lengths_embedder, 2)
     texts = base.chunks.join(base.vectors, "chunk_id").groupBy("doc_id").agg(F.min_by("text", "seq").alias("text"))
     return base.docs.join(texts, "doc_id").select("kb", "rel_path", "title", "size_bytes", "text")
 
 
+_FOUND["L06_store_documents"] = L06_store_documents, _sql_stored()
+
+
 @query("SELECT kb, rel_path FROM (SELECT kb, rel_path, title FROM mg UNION ALL SELECT kb || '2', rel_path, title FROM mg) WHERE NOT (kb = 'notes' AND title = 'user')")
 def L07_delete_documents(spark, d):
     docs = sync.managed_documents(b.writes(spark, d), F.col("kb"))
