@@ -5,8 +5,9 @@ are compared first, shingle by shingle, and those that are similar enough are jo
 in more bits are then looked for among min-hashes: ``BANDS`` bands of ``ROWS`` min-hashes each put units into buckets; a
 pair of similarity ``s`` shares no bucket with probability ``(1 - s ** ROWS) ** BANDS``, 4e-5 at 0.8.  (Fingerprints of such
 pairs differ in up to 15 of 64 bits; at that width the Gray-order index prunes next to nothing.)  Each unit
-carries its number of shingles and the parity of its shingles over ``PARITY`` bits: two parities never differ in more places
-than the sets do, so this test drops no pair that is similar enough.  What is left is compared shingle by shingle.  The
+carries its number of shingles and the parity of its shingles over at least twice as many bits: two parities never differ in
+more places than the sets do, so this test drops no pair that is similar enough, and leaves few below a similarity of 0.78.
+What is left is listed once, in the first bucket of a pair, and compared shingle by shingle.  The
 first round lists one pair for each two groups that it joins, so a large group of near copies never has its pairs listed;
 the second one lists every pair that the pairs found true so far leave unconnected.
 """
@@ -26,8 +27,9 @@ from .words import mix
 
 #: Words in a shingle, least similarity, bands and min-hashes in each.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
-#: Bits of a parity; rows of (unit, band), about 70 bytes each, that a group of buckets has on average.
-PARITY, GROUP = 256, 1 << 17
+#: Least and most bits of a parity; rows of (unit, band), about 400 bytes each, that a group of buckets has on average; words of
+#: parities compared at once.
+PARITY, WIDEST, GROUP, WORDS = 256, 1 << 16, 1 << 16, 1 << 20
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
 
 
@@ -47,7 +49,8 @@ def _features(text: str | None, shingle: int) -> tuple[int, int, bytes, list[int
     h = xxhash.xxh64_intdigest
     found = shingles(None if text is None else text.encode(), shingle)
     hashes = np.unique(np.fromiter((h(s, 42) for s in found), np.uint64, len(found)))
-    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    bits = min(WIDEST, max(PARITY, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else PARITY
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     least = np.full(len(_SEEDS), 0, np.uint64)
     for i in range(0, len(hashes), 1 << 12):
         part = mix(hashes[None, i : i + (1 << 12)] ^ _SEEDS).min(axis=1)
@@ -57,12 +60,47 @@ def _features(text: str | None, shingle: int) -> tuple[int, int, bytes, list[int
     return signed[0], len(hashes), np.packbits(odd.astype(bool)).tobytes(), signed[1:]
 
 
-def pairs(bucket: np.ndarray, key: np.ndarray, label: np.ndarray, n: np.ndarray, parity: np.ndarray, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+class Parities:
+    """Parities over numbers of bits that are powers of two.  A wide one folded in the middle is the one over half as many
+    bits, so two are compared over the bits of the narrower one; ``at`` has the parities of all rows that are wide enough."""
+
+    def __init__(self, rows: list[bytes]):
+        self.words = np.array([len(r) // 8 for r in rows], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wider, folded = np.zeros(0, np.int64), None
+        w = int(self.words.max(initial=PARITY // 64))
+        while w >= PARITY // 64:
+            own = np.flatnonzero(self.words == w)
+            bits = np.frombuffer(b"".join([rows[i] for i in own]), np.uint64).reshape(-1, w)
+            wider, bits = np.concatenate([wider, own]), bits if folded is None else np.concatenate([folded, bits])
+            place = np.full(len(rows), -1, np.int32)
+            place[wider] = np.arange(len(wider))
+            self.at[w], folded = (place, bits), bits[:, : w // 2] ^ bits[:, w // 2 :]
+            w //= 2
+
+    def near(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Of which pairs do the parities differ in ``most`` places or fewer?"""
+        ok = self._within(PARITY // 64, a, b, most)
+        least = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(least[ok]):
+            k = np.flatnonzero(ok & (least == w))
+            ok[k] = self._within(int(w), a[k], b[k], most[k])
+        return ok
+
+    def _within(self, w: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        (place, bits), step = self.at[w], max(1, WORDS // w)
+        found = [np.bitwise_count(bits[place[a[i : i + step]]] ^ bits[place[b[i : i + step]]]).sum(axis=1, dtype=np.int64) <= most[i : i + step] for i in range(0, len(a), step)]
+        return np.concatenate([np.zeros(0, bool), *found])
+
+
+def pairs(bucket: np.ndarray, key: np.ndarray, label: np.ndarray, n: np.ndarray, parity: list[bytes], bands: np.ndarray, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Keys of candidates: pairs of one bucket (rows with equal ``bucket`` are neighbours) in different groups (``label``) that
-    sizes and parities leave possible; with ``every`` all of them, otherwise enough to connect what all of them would."""
+    sizes and parities leave possible; with ``every`` all of them, otherwise enough to connect what all of them would.  A
+    pair is listed in its first bucket alone (``bands`` has a row's buckets)."""
     _, first, of = np.unique(label, return_index=True, return_inverse=True)
     parent = first[of]
     n = n.astype(np.float64)
+    parities = Parities(parity)
     none = np.zeros(0, np.int64)
     out = [(none, none)]
     p, step = np.arange(len(bucket)), 0
@@ -75,30 +113,35 @@ def pairs(bucket: np.ndarray, key: np.ndarray, label: np.ndarray, n: np.ndarray,
         most = (n[a] + n[b]) * ((1 - similarity) / (1 + similarity)) + 1e-6
         ok = (parent[a] != parent[b]) & (np.abs(n[a] - n[b]) <= most)
         a, b, most = a[ok], b[ok], most[ok]
-        ok = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= most
+        ok = parities.near(a, b, most)
         a, b = a[ok], b[ok]
         if not every and len(a):
             low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
             at = np.unique(low * len(n) + high, return_index=True)[1]
             a, b = a[at], b[at]
             parent = _link(parent, a, b)
-        out.append((a, b))
+        here = bands[a, (bands[a] == bands[b]).argmax(axis=1)] == bucket[a]  # elsewhere it is listed or connected
+        out.append((a[here], b[here]))
     a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
     return key[a], key[b]
 
 
 def candidates(units: DataFrame, similarity: float, every: bool, group: int = GROUP) -> DataFrame:
-    """``pairs`` (u, v) of all ``units`` (key, label, n, parity, bands)."""
-    k = max(64, -(-units.count() * BANDS // group))
+    """``pairs`` (u, v) of all ``units`` (key, label, n, parity, bands); only buckets with several groups are looked into."""
+    rows = units.select("key", "label", F.explode("bands").alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    held = written(rows.join(several, "bucket", "left_semi").groupBy("key").agg(F.collect_list("bucket").alias("buckets")), "buckets")  # ``BANDS`` at most
+    k = max(64, -(-(held.agg(F.sum(F.size("buckets"))).first()[0] or 0) // group))
 
     def each(t: pa.Table) -> pa.Table:
         longs = {c: t.column(c).to_numpy().astype(np.int64) for c in ("bucket", "key", "label", "n")}
-        parity = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
         order = np.lexsort((longs["key"], longs["bucket"]))
-        u, v = pairs(*(x[order] for x in longs.values()), parity[order], similarity, every)
+        parity = t.column("parity").take(pa.array(order)).to_pylist()
+        u, v = pairs(*(x[order] for x in longs.values()), parity, bands[order], similarity, every)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    rows = units.select("key", "label", "n", "parity", F.explode("bands").alias("bucket"))
+    rows = units.join(held, "key").select("key", "label", "n", "parity", "bands", F.explode("buckets").alias("bucket"))
     found = rows.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(k)).alias("g")).applyInArrow(lambda t: each(t), "u long, v long")
     return written(found.distinct(), "candidates")
 
