@@ -106,6 +106,8 @@ def _add_segment(spark: SparkSession, path: str, seq: int, new: Index, old: Inde
     if new.tokens is not None:  # texts are tokenised once
         tokens = written(new.tokens, "tokens")
         postings, common, made["lengths"] = keyword.postings_of(tokens), keyword.common_terms(tokens), keyword.lengths_of(tokens)
+    elif new.terms is not None:  # segments that become one: the postings are dealt without a look at them first
+        common = keyword.known_common_terms(new.terms)
     for t in Index.TABLES:
         made[t].write.parquet(f"{at}/{t}")
     if gone is not None:

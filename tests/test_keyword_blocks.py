@@ -53,3 +53,26 @@ def test_common_terms_lie_in_many_files(spark, tmp_path):
     back = keyword.stored(spark, str(tmp_path / "p"), "long")
     assert sorted(back.select("term", "chunk_id", "freq", "places").collect()) == sorted(made.collect())
     assert back.filter("term = 'head'").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_segments_become_one_without_a_second_look_at_postings(spark, tmp_path, monkeypatch):
+    from lakesearch import plans
+
+    chunks = corpus(spark, 400).withColumn("doc_id", F.col("chunk_id"))
+    docs = chunks.select("doc_id", F.lit("s").alias("source_name"))
+    vectors = ranking.read_embeddings(chunks.select("chunk_id", F.array(F.lit(1.0).cast("float")).alias("embedding")), 1)
+    part = lambda t, c: t.filter(c)
+    first = plans.Index(part(docs, "doc_id < 300"), part(chunks, "chunk_id < 300"), part(vectors, "chunk_id < 300")).write(str(tmp_path / "i"))
+    both = first.updated(part(docs, "doc_id % 7 = 0"), part(docs, "doc_id >= 300"), part(chunks, "chunk_id >= 300"), part(vectors, "chunk_id >= 300"))
+    dealt, inner = [], keyword.store
+    monkeypatch.setattr(keyword, "store", lambda index, path, n, common=None: (dealt.append((path, common)), inner(index, path, n, common)))
+    one = both.merged()
+    rows = lambda i: sorted(i.postings.select("term", "chunk_id", "freq", "places").collect())
+    assert rows(one) == rows(both) == sorted(keyword.postings(part(chunks, "chunk_id >= 300 or chunk_id % 7 > 0")).collect())
+    n = len(rows(one))
+    df = Counter(r.term for r in one.postings.select("term").collect())
+    hashes = {r.term: r.h for r in one.postings.select("term", F.xxhash64("term").alias("h")).distinct().collect()}
+    ((path, common),) = dealt
+    assert set(common) == {hashes[t] for t, k in df.items() if k > 1 and k * 1000 > n} and common
+    files = [f for f in one.postings.inputFiles() if path.split("/")[-2] in f]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
