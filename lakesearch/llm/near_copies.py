@@ -186,14 +186,16 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     prints = written(rows.withColumn("x", features("text")).select("doc_id", "t", "x.*"), "features")
     units = written(prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("bands").alias("bands"), F.min("fp").alias("fp")), "units")
 
-    def rooted(links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return units.join(roots, units.key == roots.node, "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
-
-    seeds = verified(print_pairs(units), units, rows, shingle, similarity)
-    links = seeds.union(verified(candidates(rooted(seeds), similarity, False), units, rows, shingle, similarity))
-    rest = verified(candidates(rooted(links), similarity, True), units, rows, shingle, similarity)
-    labels = written(rooted(links.union(rest)).select("key", "low", "label"), "labels")
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """``labels`` (key, label) with groups made one that ``links`` (u, v) connect; only groups, not their members, are linked."""
+        at = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label"))
+        roots = components(links.join(at("u"), "u").join(at("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v")))
+        return written(labels.join(roots, labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
+
+    labels = joined(units.select("key", F.col("key").alias("label")), verified(print_pairs(units), units, rows, shingle, similarity))
+    for every in (False, True):
+        labels = joined(labels, verified(candidates(units.join(labels, "key"), similarity, every), units, rows, shingle, similarity))
+    labels = labels.join(units.select("key", "low"), "key")
     named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("key", "component_id")
     return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 

@@ -21,6 +21,7 @@ savings, so a worker remembers those of words that it has met.
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import logistic, sample, sigmoid
+from .training import logistic, ordered, sampled, sigmoid
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 20_000
@@ -260,9 +261,16 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float = 1.0) -> ToxicityModel
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
-    """A model from a bounded sample of the labelled documents."""
-    rows = sample(docs, labels, label, per_class, max_chars, text, doc_id)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(), rows.attrs["odds"])
+    """A model from a bounded sample of the labelled documents.  A task fits it; the driver gets the model alone, since what its
+    Python once took for the sample's words it would keep to the end of the session."""
+    rows, odds = sampled(docs, labels, label, per_class, max_chars, text, doc_id)
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = ordered(rows)
+        return pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["y"].to_numpy(), odds))]})
+
+    made = rows.groupBy().applyInPandas(fitted, "model binary").collect()  # bounded: 2 * per_class rows, one model
+    return pickle.loads(made[0].model) if made else fit([], np.zeros(0), odds)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "toxicity") -> DataFrame:

@@ -8,21 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, text: str = "text", doc_id: str = "doc_id") -> pd.DataFrame:
-    """At most ``per_class`` documents of each class (0 and 1) with texts of 1 to ``max_chars`` characters, as pandas columns
-    ``id``, ``text``, ``y``, ordered by a hash of the id.  The choice is by hash alone, the same in every run.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, float]:
+    """At most ``per_class`` documents of each class (0 and 1) with texts of 1 to ``max_chars`` characters, columns ``id``,
+    ``text``, ``y``, and how many times as often labels 1 were picked as labels 0.  The choice is by hash of the id alone,
+    the same in every run.
 
-    Labels other than 0 and 1 and labels for absent documents are ignored; of several for one id the least counts.  The
-    attribute ``odds`` is how many times as often labels 1 were picked as labels 0."""
+    Labels other than 0 and 1 and labels for absent documents are ignored; of several for one id the least counts."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"))
     order = F.xxhash64(F.lit("training"), "id")
     picked = [known.filter(F.col("y") == y).orderBy(order, "id").limit(per_class) for y in (0, 1)]
     chosen = picked[0].union(picked[1])  # 2 * per_class rows at most, so it can be broadcast
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.length("text").between(1, max_chars))
     rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    out = rows.toPandas().sort_values("id", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
     all_of = {r.y: min(per_class / r.n, 1.0) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    out.attrs["odds"] = all_of.get(1, 1.0) / all_of.get(0, 1.0)
+    return rows, all_of.get(1, 1.0) / all_of.get(0, 1.0)
+
+
+def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    """``rows`` of a sample in order of a hash of the id."""
+    return rows.sort_values("id", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, text: str = "text", doc_id: str = "doc_id") -> pd.DataFrame:
+    """The rows of ``sampled``, ``ordered``, in pandas; the attribute ``odds`` has its second value."""
+    rows, odds = sampled(docs, labels, label, per_class, max_chars, text, doc_id)
+    out = ordered(rows.toPandas())
+    out.attrs["odds"] = odds
     return out
 
 
