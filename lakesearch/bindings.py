@@ -151,7 +151,11 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = first.select("n", "run").distinct().limit(keyword.LISTED + 1).collect()  # bounded
     d = docs(spark, sf_dir)
     held = d.select("doc_id", words(F.col("text")).alias("w"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: run("w", i, n))
+    # runs are put together only where a word stands that begins one
+    begins = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
+    if 0 < len(known) <= keyword.LISTED:
+        begins = F.filter(begins, lambda i: F.get("w", i - 1).isin(sorted({r.run.split(" ")[0] for r in known})))
+    runs = lambda n: F.transform(begins, lambda i: run("w", i, n))
     found = F.flatten(F.array(*map(runs, sorted({r.n for r in known})))) if known else F.array().cast("array<string>")
     if 0 < len(known) <= keyword.LISTED:
         found = F.filter(found, lambda r: r.isin([k.run for k in known]))
