@@ -169,6 +169,14 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def joined_terms(text: Column) -> Column:
+    """The terms of ``tokenize`` joined by spaces, without an array between; texts of ASCII alone, told by their sizes, need no
+    table of accents and no character properties."""
+    runs = lambda x, no: F.trim(F.regexp_replace(x, no, " "))
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, runs(F.lower(text), "[^a-z0-9]+")).otherwise(runs(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """S3."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)

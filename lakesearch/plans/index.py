@@ -105,7 +105,7 @@ def _add_segment(spark: SparkSession, path: str, seq: int, new: Index, old: Inde
     postings, common, made = new.postings, None, {t: getattr(new, t) for t in Index.TABLES}
     if new.tokens is not None:  # texts are tokenised once
         tokens = written(new.tokens, "tokens")
-        postings, common, made["lengths"] = keyword.postings_of(tokens), keyword.common_terms(tokens), keyword.lengths_of(tokens)
+        postings, common, made["lengths"] = keyword.packs_of(tokens), keyword.common_terms(tokens), keyword.lengths_of(tokens)
     elif new.terms is not None:  # segments that become one: the postings are dealt without a look at them first
         common = keyword.known_common_terms(new.terms)
     for t in Index.TABLES:
@@ -115,7 +115,7 @@ def _add_segment(spark: SparkSession, path: str, seq: int, new: Index, old: Inde
     lengths = spark.read.parquet(f"{at}/lengths")
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     keyword.store(postings.drop("h", "bucket"), f"{at}/postings", n_tokens, common)
-    terms = keyword.term_counts(keyword.stored(spark, f"{at}/postings", lengths.schema["chunk_id"].dataType.simpleString()))
+    terms = keyword.stored_counts(spark, f"{at}/postings")
     sums = keyword.length_sums(lengths)
     if old is not None:
         minus = lambda df, *cs: df.withColumns({c: -F.col(c) for c in cs})
