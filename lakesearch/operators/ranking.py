@@ -120,8 +120,11 @@ def fused_rank(fused: DataFrame) -> DataFrame:
 
 
 def hydrate_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """D3: ``hits`` with the columns of their chunks and documents; texts are fetched for hits only."""
-    return hits.join(chunks, "chunk_id").join(docs, "doc_id")
+    """D3: ``hits`` with the columns of their chunks and documents; texts are fetched for hits only.
+
+    Hits are written to the shared folder first: Spark then knows their size and sends few hits to the texts, which would
+    all be shuffled otherwise."""
+    return written(hits, "hits").join(chunks, "chunk_id").join(docs, "doc_id")
 
 
 def cap_per_document(hits: DataFrame, order: str = "rank") -> DataFrame:
