@@ -150,7 +150,7 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = asked.filter("n > 0").select("query_id", "query", run("w", F.lit(2), F.col("n")).alias("run"), "n")
     known = first.select("n", "run").distinct().limit(keyword.LISTED + 1).collect()  # bounded
     d = docs(spark, sf_dir)
-    held = d.select("doc_id", words(F.col("text")).alias("w"))
+    held = d.select("doc_id", "rel_path", "text", words(F.col("text")).alias("w"))
     # runs are put together only where a word stands that begins one
     begins = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
     if 0 < len(known) <= keyword.LISTED:
@@ -159,9 +159,13 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.flatten(F.array(*map(runs, sorted({r.n for r in known})))) if known else F.array().cast("array<string>")
     if 0 < len(known) <= keyword.LISTED:
         found = F.filter(found, lambda r: r.isin([k.run for k in known]))
-    pairs = held.select("doc_id", F.explode(F.array_distinct(found)).alias("run")).join(first, "run").select("query_id", "query", "doc_id").distinct()
+    runs_of = lambda *cs: held.select(*cs, F.explode(F.array_distinct(found)).alias("run"))
+    if first.count() <= keyword.LISTED:  # queries are sent to the documents, no text is shuffled
+        pairs = runs_of("rel_path", "text").join(F.broadcast(first), "run")
+    else:
+        pairs = runs_of("doc_id").join(first, "run").select("query_id", "query", "doc_id").distinct().join(d, "doc_id")
     short = asked.filter("n <= 0").select("query_id", "query")
-    matched = pairs.join(d, "doc_id").filter(F.contains("text", "query")).select("query_id", "rel_path")
+    matched = pairs.filter(F.contains("text", "query")).select("query_id", "rel_path")
     if not short.isEmpty():
         matched = matched.union(d.join(F.broadcast(short), F.contains("text", "query")).select("query_id", "rel_path"))
     expect = matched.groupBy("query_id").agg(F.array_sort(F.collect_set("rel_path")).alias("expect"))

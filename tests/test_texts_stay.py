@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from lakesearch.operators import ranking
+from lakesearch import bindings
+from lakesearch.operators import keyword, ranking
 
 
 def shuffled(df):
@@ -30,3 +31,23 @@ def test_texts_are_not_shuffled_for_hits(spark, tmp_path):
         assert sorted(rows) == sorted(want) and len(rows) == 15
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_texts_are_not_shuffled_for_golden_queries(spark, tmp_path, monkeypatch):
+    texts = [(i, f"start word{i} alpha beta gamma end{i} and rest") for i in range(50)] + [(99, "alpha")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "word7 alpha beta gamma end7"), (2, "word7 alpha beta gamma end8"), (3, "alpha beta gamma"), (4, "alpha")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    path = lambda i: f"en/{i:08d}.txt"
+    want = {1: [path(7)], 2: [], 3: [path(i) for i in range(50)], 4: [path(i) for i in [*range(50), 99]]}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = bindings.golden(spark, str(tmp_path))
+        assert {r.query_id: r.expect for r in got.collect()} == want
+        assert not [x for x in shuffled(got) if "doc_id" in x or "run" in x]
+        monkeypatch.setattr(keyword, "LISTED", 1)  # too many queries to be sent
+        assert {r.query_id: r.expect for r in bindings.golden(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
