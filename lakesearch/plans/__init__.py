@@ -13,7 +13,7 @@ from ..functions import base_title, chunk_id, document_id, file_ext, format_of,
 from ..operators import chunking, evaluate, extract, keyword, ranking, sync
 from ..operators.results import ModelResults, contextualize_once, embed_once
 from ..sources import written
-from .index import Index
+from .index import Index, sent
 
 #: Options of a query where it gives none.
 DEFAULTS = {"limit": ranking.LIMIT, "min_score": 0.0, "rerank": False, "max_per_doc": ranking.MAX_PER_DOC}
@@ -97,9 +97,14 @@ def search_all(queries: DataFrame, index: Index, scorer=None, prefilter: bool =
 
 def extract_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of ``docs`` (doc_id, rel_path, text) by format; markdown by sections, everything else whole."""
+    sections, whole = _by_format(docs)
+    return sections.unionByName(whole)
+
+
+def _by_format(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of markdown, and of the others, which are one block each."""
     kind = docs.withColumn("format", format_of(file_ext(F.col("rel_path"))))
-    markdown = extract.markdown_blocks(kind.filter("format = 'markdown'"))
-    return markdown.unionByName(extract.whole_file_block(kind.filter("format <> 'markdown'")))
+    return extract.markdown_blocks(kind.filter("format = 'markdown'")), extract.whole_file_block(kind.filter("format <> 'markdown'"))
 
 
 def index_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int, contextualizer=None, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP, embeddings: ModelResults | None = None, contexts: ModelResults | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,12 +112,13 @@ def index_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], d
 
     Both are tables in the shared folder: documents are read and cut once, a chunk's context is made once and is the one that
     is embedded.  With ``embeddings`` or ``contexts`` the models are asked only for what isn't stored there."""
-    chunks = chunking.chunk_blocks(extract_blocks(docs), max_tokens, overlap)
+    sections, whole = _by_format(docs)
+    chunks = chunking.chunk_blocks(sections, max_tokens, overlap).unionByName(chunking.chunk_whole_files(whole, max_tokens, overlap))
     if contextualizer and contexts:
         chunks = contextualize_once(written(chunks, "cut"), docs, contextualizer, contexts)
     else:
         chunks = chunking.contextualize_chunks(chunks, docs, contextualizer) if contextualizer else chunks.withColumn("context", F.lit(""))
-    chunks = written(chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("seq"))), "chunks")
+    chunks = written(chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("seq"))), "chunks", "zstd")
     texts = chunking.with_embedding_text(chunks)
     made = embed_once(texts, embed, dim, embeddings) if embeddings else chunking.embed_texts(texts, embed, dim)
     return chunks, written(ranking.read_embeddings(made.select("chunk_id", "embedding"), dim), "vectors")
@@ -155,12 +161,12 @@ def changes(diff: DataFrame, contents: Callable[[DataFrame], DataFrame], embed,
     text or with a line beyond the limit fails alone: it is left out here and has its reason in ``failed``.  An error of a
     model ends the job; nothing is half done then, because callers store the result as a whole."""
     key = sync.key_of(diff)
-    wanted = diff.filter("action = 'index'").select(*key)
-    got = contents(wanted)
+    wanted = written(diff.filter("action = 'index'").select(*key), "wanted")
+    got = contents(sent(wanted))
     error = F.col("error") if "error" in got.columns else F.lit(None).cast("string")
     got = got.select(*key, "text", error.alias("error"))
     reason = F.coalesce("error", F.when(F.col("text").isNull(), "cannot be read"), F.when(extract.has_overlong_line(F.col("text")), "a line is too long"))
-    read = written(wanted.join(got, key, "left").withColumn("error", reason), "contents")
+    read = written(wanted.join(got, key, "left").withColumn("error", reason), "contents", "zstd")
     failed = read.filter("error is not null").select(*key, "error")
     texts = read.filter("error is null").select(*key, "text")
     docs = texts.withColumns({"doc_id": document_id(*key), "title": base_title(F.col("rel_path"))})
@@ -198,7 +204,7 @@ def sync_index(listing: DataFrame, index: Index, manifest: DataFrame, contents:
     the documents; only what changed is read, tokenised and embedded.  Columns of documents that the sync doesn't know are
     null."""
     manifest = sync.read_manifest(manifest, index.chunks)
-    diff = sync.manifest_diff(listing, manifest, verify)
+    diff = written(sync.manifest_diff(listing, manifest, verify), "diff")
     made = changes(diff, contents, embed, dim, contextualizer, **cut)
     key = sync.key_of(index.docs, made.gone)
     gone = index.docs.join(made.gone, key, "left_semi").select("doc_id")
