@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..operators import keyword
-from ..sources import written
+from ..sources import drop, written
 
 #: Ids up to which their table is broadcast, about 100 MB.
 SENT = 1 << 20
@@ -125,9 +125,8 @@ def _add_segment(spark: SparkSession, path: str, seq: int, new: Index, old: Inde
     """``old`` is the index of which ``gone`` (doc_id, chunk_id, and chunk_no where it has that) goes."""
     name = f"segment-{seq:06d}-{uuid.uuid4().hex[:8]}"
     at = f"{path}/{name}"
-    postings, common, made = new.postings, None, {t: getattr(new, t) for t in Index.TABLES}
-    if new.tokens is not None:  # texts are tokenised once
-        tokens = new.tokens
+    postings, common, made, tokens = new.postings, None, {t: getattr(new, t) for t in Index.TABLES}, new.tokens
+    if tokens is not None:  # texts are tokenised once
         if isinstance(tokens.schema["chunk_id"].dataType, StringType) and (old is None or "chunk_no" in old.lengths.columns):
             tokens = keyword.numbered(tokens, -1 if old is None else old.lengths.agg(F.coalesce(F.max("chunk_no"), F.lit(-1))).first()[0])
         tokens = written(tokens, "tokens", "zstd")
@@ -139,6 +138,8 @@ def _add_segment(spark: SparkSession, path: str, seq: int, new: Index, old: Inde
     lengths = spark.read.parquet(f"{at}/lengths")
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     keyword.store(postings.drop("h", "bucket"), f"{at}/postings", n_tokens, common)
+    if tokens is not None:  # as large as the texts
+        drop(tokens)
     terms = keyword.stored_counts(spark, f"{at}/postings")
     sums = keyword.length_sums(lengths)
     if gone is not None:

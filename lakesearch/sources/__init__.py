@@ -87,3 +87,11 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

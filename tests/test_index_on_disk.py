@@ -1,12 +1,13 @@
 """A stored index by string ids takes little disk: postings have numbers, travel as blocks, and nothing is shuffled for what is gone."""
 
+import os
 import re
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakesearch import plans
+from lakesearch import plans, sources
 from lakesearch.operators import chunking, extract, keyword, ranking
 from lakesearch.plans import index as stored
 from tests.test_keyword_blocks import corpus
@@ -41,9 +42,12 @@ def hits(index, chunks=None):
 def test_segments_by_number_find_what_an_index_anew_finds(spark, tmp_path, monkeypatch, sent):
     monkeypatch.setattr(stored, "SENT", sent)
     monkeypatch.setattr(keyword, "DEALT", 500)  # several blocks for a part
+    shared = tmp_path / "a shared folder"
+    monkeypatch.setattr(sources, "shared_dir", lambda spark: f"file://{shared}")
     _, both, chunks = updated(spark, str(tmp_path / "i"))
     one, fresh = both.merged(), plans.Index(both.docs, chunks, both.vectors)
     assert hits(one) == hits(both) == hits(fresh) and {h[0] for h in hits(one)} == {1, 2, 4, 5}
+    assert not [f for f in os.listdir(shared) if f.startswith("tokens-")]  # what was tokenised goes
     for i in (both, one):
         assert dict(i.postings.schema["chunk_no"].jsonValue())["type"] == "long"
         back = i.postings.join(i.lengths, "chunk_no").select("term", "chunk_id", "freq", "places")
@@ -93,6 +97,7 @@ def test_files_of_one_block_are_cut_without_a_shuffle(spark):
         assert got.schema.names == want.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
         assert exchanges(got) == [] != exchanges(want)
+        assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # bounds are worked out once
 
 
 def test_lengths_are_not_joined_to_matches(spark, tmp_path):
